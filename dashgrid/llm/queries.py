@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..session import PERIOD_END_MS, PERIOD_START_MS, table
 from .bpe import encode_corpus
+from .mixing import draw_mixes, ensure_checkpoint_dir, fold_source, mix_report, plan_mixes, quality
 from .quantiles import merge_sketches, rank_error, read_sketches, sketch_groups
+from .sentences import sentence_units
 from .survivor import survivor_sources, survivors, with_canonical_sha256
 
 MILLIS = ("totalMillis", "pass1Millis", "ladderMillis")
@@ -46,7 +48,35 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), "text", ["doc_id"])
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p2_whole_period": p2_whole_period, "p4_found": p4_found, "p4_records": p4_records, "p6_ids": p6_ids}
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that can be drawn, with their tokens and weights; checkpointed, as counting tokens is the costly part."""
+    docs = table(spark, d, "documents").select("doc_id", fold_source(F.col("source")).alias("source"), "text", quality(F.col("text"), F.col("translated_from")).alias("quality"))
+    sized = encode_corpus(docs.where("source is not null"), "text", ["doc_id", "source", "quality"], ids=False).where("n_tokens > 0")
+    ensure_checkpoint_dir(spark)
+    return sized.checkpoint()
+
+
+def p7_mixes(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of every mix and how often each occurs."""
+    return draw_mixes(_sized(spark, d), table(spark, d, "mix_targets"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Shares aimed at and reached."""
+    docs, targets = _sized(spark, d), table(spark, d, "mix_targets")
+    return mix_report(draw_mixes(docs, targets), plan_mixes(docs, targets))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentence_units(table(spark, d, "documents"), "text", ["doc_id"])
+
+
+def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentence_units(table(spark, d, "documents"), "text", ["doc_id", "lang"], with_text=True)
+
+
+QUERIES = {"p2_percentiles": p2_percentiles, "p2_whole_period": p2_whole_period, "p4_found": p4_found, "p4_records": p4_records, "p6_ids": p6_ids,
+           "p7_mixes": p7_mixes, "p7_report": p7_report, "p8_found": p8_found, "p8_sentences": p8_sentences}
 
 _HASHED = r"""SELECT *, CASE WHEN regexp_full_match(hx, '[0-9a-f]{64}') THEN hx
    WHEN regexp_full_match(s, '[A-Za-z0-9+/_-]{43}=?') THEN lower(hex(from_base64(translate(rtrim(s, '='), '-_', '+/') || '='))) END h0

@@ -34,7 +34,7 @@ def with_canonical_sha256(df: DataFrame, column: str, out: str) -> DataFrame:
     b64 = F.concat(F.translate("_s", "-_=", "+/"), F.lit("="))
     df = df.withColumn("_k", F.when(F.col("_h").rlike("^[0-9a-f]{64}$"), F.col("_h")).when(
         F.col("_s").rlike("^[A-Za-z0-9+/_-]{43}=?$"), F.lower(F.hex(F.try_to_binary(b64, F.lit("base64"))))))
-    one_digit = F.translate("_k", F.substring("_k", 1, 1), "") == ""
+    one_digit = F.replace(F.col("_k"), F.substring("_k", 1, 1), F.lit("")) == ""
     return df.withColumn(out, F.when(~one_digit & (F.col("_k") != EMPTY_SHA256), F.col("_k"))).drop("_c", "_s", "_h", "_k")
 
 
