@@ -23,7 +23,7 @@ def odo_readings(readings: DataFrame) -> DataFrame:
 def with_plausible(readings: DataFrame, batch_rows: DataFrame) -> DataFrame:
     """Readings with ``plausible``: the odometer isn't flagged. Null ids join nothing and stay plausible."""
     bad = find_spikes(readings, batch_rows).where("record = 'readings' and field = 'odoKm'").select(F.col("record_id").alias("id")).distinct()
-    return readings.join(bad.withColumn("bad", F.lit(True)), "id", "left").withColumn("plausible", F.col("bad").isNull()).drop("bad")
+    return readings.join(bad.withColumn("_flagged", F.lit(True)), "id", "left").withColumn("plausible", F.col("_flagged").isNull()).drop("_flagged")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
