@@ -25,13 +25,15 @@ _S = r"[\s\x1c-\x1f\x85\xa0  -     　]"
 _QUOTE_END = "\"”»’」』"
 CLOSE = _QUOTE_END + r")）\]】"
 _END = "。！？｡।॥؟"
+#: What a full stop may follow that ends a sentence though the next word begins at once.
+_WORD_END = r"[\p{L}\p{N})%\]°]"
 _THAI = r"฀-๿"
 
 #: Abbreviations that never end a sentence before a space, then those that do unless it goes on in lower
 #: case or with a number; in any case, a space allowed after inner stops. Fixed values.
 NEVER_LAST = (
-    "fig", "figs", "ref", "refs", "cf", "e.g", "i.e", "approx", "vs", "viz", "no", "nos", "ex", "incl", "ver", "nr", "abb", "bsp", "ca", "z.b", "d.h",
-    "ggs", "fa", "bzw", "env", "réf", "p.ej", "aprox", "pág", "c.-à-d", "vgl", "ggf", "sog", "z", "d", "p", "resp", "dr", "mr", "mrs", "prof", "st",
+    "fig", "figs", "ref", "refs", "cf", "e.g", "i.e", "approx", "vs", "viz", "no", "nos", "ex", "incl", "ver", "nr", "abb", "bsp", "ca", "z.b", "d.h", "anm", "abs", "kap", "ziff", "tab",
+    "ggs", "fa", "bzw", "env", "réf", "p.ej", "aprox", "pág", "c.-à-d", "vgl", "ggf", "sog", "resp", "dr", "mr", "mrs", "prof", "st",
     "eq", "sec", "vol", "pp", "rã©f", "pã¡g",
 )
 LAST_OR_NOT = ("etc", "inc", "co", "ltd", "corp", "a.m", "p.m", "d.c", "a.c", "usw", "u", "s", "j")
@@ -44,22 +46,25 @@ def _behind(words: Sequence[str]) -> str:
         for form in {w, w.replace(".", ". ")}:
             groups.setdefault(w[-1], []).append(form.replace(".", "[.]").replace(" ", _S))
     return "(?iu:" + "|".join(
-        rf"(?<={last}[.])(?:{'|'.join(rf'(?<=(?<![\p{{L}}\p{{N}}]){f}[.])' for f in forms)})" for last, forms in groups.items()) + ")"
+        rf"(?<={last}[.])(?:{'|'.join(rf'(?<=(?<![\p{{L}}\p{{N}}-]){f}[.])' for f in forms)})" for last, forms in groups.items()) + ")"
 
 
 def _mask_stops(t: Column) -> Column:
     """Full stops that end nothing."""
     token = (r"(?=[\p{L}\p{N}(\\])(?<=[\p{L}\p{N})\]}%][.])"  # inside a token, unless a space is missing between two words
-             r"(?!\p{Lu}\p{Ll}(?<=(?:\p{Ll}{3}|[\p{L}\p{N}]\))[.]..))")
+             rf"(?!\p{{Lu}}\p{{Ll}}(?<={_WORD_END}[.]..))")
     going_on = rf"(?={_S}*[\p{{Ll}}\p{{N}},;:)]){_behind(LAST_OR_NOT)}"
     never = rf"(?={_S}|\p{{N}}|\(){_behind(NEVER_LAST)}"
-    german = rf"(?={_S}+\p{{Lu}})(?:(?<={_S}u[.])|(?<=\(s[.]))"
-    return F.regexp_replace(t, rf"[.](?:{token}|(?=[.])|(?<=[.][.])|{never}|{going_on}|{german})", MASK)
+    # German and Spanish two-word abbreviations, ordinals of dates, u. between names, s. before a number
+    pairs = rf"(?={_S}?(?:B|h|ej)[.])(?<=(?<![\p{{L}}\p{{N}}-])[zdp][.])|(?={_S}+\p{{Lu}})(?:(?<={_S}u[.])|(?<=\(s[.])|(?<=\b[Aa]m{_S}\p{{N}}{{1,2}}[.]))"
+    # scripts whose sentences don't end in a full stop
+    script = rf"(?<=[\p{{IsDevanagari}}{_THAI}][.])"
+    return F.regexp_replace(t, rf"[.](?:{token}|(?=[.])|(?<=[.][.])|{script}|{never}|{going_on}|{pairs})", MASK)
 
 
 def _mask_signs(t: Column, wide: Column) -> Column:
     """Marks inside formulas and inside quotations that their sentence goes on after."""
-    formula = (rf"(?<=[?!])(?:(?=[^\s{CLOSE}?!.\xa0　\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}])|(?<={_S}[?])(?=[?])|(?<={_S}[?]{{2}})(?={_S}+\p{{L}}))")
+    formula = (rf"(?<=[?!])(?:(?={_S}?[/≥≤=<>×·^*+]|{_S}?&[lg]t;)|(?=[^\s{CLOSE}?!.\xa0　\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}])|(?<={_S}[?])(?=[?])|(?<={_S}[?]{{2}})(?={_S}+\p{{L}}))")
     # not the last mark of a quotation: the next mark closes one that isn't opened in between
     inner = rf"(?={_S}?[^\s.!?\"«»‘-‟「-』。][^\n.!?\"«»‘-‟「-』。]{{0,24}}+[.!?{_END}]{_S}?[{_QUOTE_END}])"
     on = (rf"(?={_S}?[{_QUOTE_END}](?:{_S}+(?:\p{{Ll}}|[\p{{IsDevanagari}}\p{{IsArabic}}{_THAI}]|[–—])|{_S}*[,;:，、；：؛،]|[とはがをのにで]))")
@@ -85,11 +90,11 @@ def _soft_cuts(t: Column, wrapped: Column, wide: Column, thai: Column) -> Column
 
     Texts without wide or Thai signs are spared their patterns.
     """
-    latin = rf"(?<=[.!?])[{CLOSE}]{{0,3}}(?:{_S}»)?(?={_S})|(?<=[.])(?=\p{{Lu}}\p{{Ll}})(?<=(?:\p{{Ll}}{{3}}|[\p{{L}}\p{{N}}]\))[.])"
+    latin = rf"(?<=[.!?])[{CLOSE}]{{0,3}}(?:{_S}»)?(?={_S})|(?<=[.])(?=\p{{Lu}}\p{{Ll}})(?<={_WORD_END}[.])"
     line = rf"(?<=[^\s,;:，；：、؛،{MASK}–—-][ \t\r]{{0,3}}\n)(?!{_S}*\p{{Ll}})"
     ends = rf"[{_END}]+[{CLOSE}]{{0,3}}"
     # Thai: a space between two clauses, not before what goes on (to, than, the value, before, and, which, comprising)
-    space = rf"[{_THAI}%)\".](?={_S}+[{_THAI}])(?!{_S}+(?:ถึง|ค่าเ|ก่อน|และ|ซึ่ง|ประกอบด้วย|ที่|โดย))(?<=[{_THAI}][^\n]{{0,16}})"
+    space = rf"[{_THAI}%)\"{MASK}](?={_S}+[{_THAI}])(?!{_S}+(?:ถึง|ค่าเ|ก่อน|และ|ซึ่ง|ประกอบด้วย|ที่|โดย))(?<=[{_THAI}][^\n]{{0,16}})"
 
     def cut(lines: bool) -> Column:
         basic = rf"[.!?\n](?:{latin}|{line})" if lines else rf"[.!?](?:{latin})"
