@@ -53,8 +53,11 @@ def test_labels_against_flood_fill():
 
 
 def test_filters():
-    g = np.tile(100 + np.arange(160) // 16, (160, 1))
-    assert np.ptp(G.clahe(g)) > 3 * np.ptp(g)
+    g = np.where(np.indices((160, 160)).sum(0) // 10 % 2, 115, 100)
+    assert np.ptp(G.clahe(g, limit=100.0)) > 3 * np.ptp(g)
+    flat = np.full((96, 96), 25)
+    flat[30:60, 30:60] = 225
+    assert G.clahe(flat)[0, 0] < 100  # an even background keeps its mass and stays dark
     assert (G.clahe(g[:15]) == g[:15]).all()
     m = np.zeros((9, 20), bool)
     m[4, 2:8] = m[4, 10:16] = True
