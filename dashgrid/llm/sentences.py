@@ -13,6 +13,7 @@ summed in blocks, so the work stays in proportion to the number of units.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -34,7 +35,7 @@ _THAI = r"฀-๿"
 NEVER_LAST = (
     "fig", "figs", "ref", "refs", "cf", "e.g", "i.e", "approx", "vs", "viz", "no", "nos", "ex", "incl", "ver", "nr", "abb", "bsp", "ca", "z.b", "d.h", "anm", "abs", "kap", "ziff", "tab",
     "ggs", "fa", "bzw", "env", "réf", "p.ej", "aprox", "pág", "c.-à-d", "vgl", "ggf", "sog", "resp", "dr", "mr", "mrs", "prof", "st",
-    "eq", "sec", "vol", "pp", "rã©f", "pã¡g",
+    "eq", "sec", "vol", "pp",
 )
 LAST_OR_NOT = ("etc", "inc", "co", "ltd", "corp", "a.m", "p.m", "d.c", "a.c", "usw", "u", "s", "j")
 
@@ -43,7 +44,9 @@ def _behind(words: Sequence[str]) -> str:
     """Looks back from a stop for any of the words; they are grouped by last letter, so that most stops are dismissed at once."""
     groups: dict[str, list[str]] = {}
     for w in words:
-        for form in {w, w.replace(".", ". ")}:
+        # accents may be separate characters, or damaged by a wrong encoding
+        spelled = {w, unicodedata.normalize("NFD", w), w.encode().decode("latin-1").lower()}
+        for form in sorted({x for y in spelled for x in (y, y.replace(".", ". "))}):
             groups.setdefault(w[-1], []).append(form.replace(".", "[.]").replace(" ", _S))
     return "(?iu:" + "|".join(
         rf"(?<={last}[.])(?:{'|'.join(rf'(?<=(?<![\p{{L}}\p{{N}}-]){f}[.])' for f in forms)})" for last, forms in groups.items()) + ")"
@@ -53,34 +56,43 @@ def _mask_stops(t: Column) -> Column:
     """Full stops that end nothing."""
     token = (r"(?=[\p{L}\p{N}(\\])(?<=[\p{L}\p{N})\]}%][.])"  # inside a token, unless a space is missing between two words
              rf"(?!\p{{Lu}}\p{{Ll}}(?<={_WORD_END}[.]..))")
-    going_on = rf"(?={_S}*[\p{{Ll}}\p{{N}},;:)]){_behind(LAST_OR_NOT)}"
+    going_on = rf"(?={_S}*[\p{{Ll}},;:)]|[ \t\xa0]*\p{{N}}){_behind(LAST_OR_NOT)}"
+    caps = rf"(?={_S}+\p{{Lu}}{{2}})(?<=\b(?:ETC|INC)[.])"  # texts in capitals
     never = rf"(?={_S}|\p{{N}}|\(){_behind(NEVER_LAST)}"
     # German and Spanish two-word abbreviations, ordinals of dates, u. between names, s. before a number
-    pairs = rf"(?={_S}?(?:B|h|ej)[.])(?<=(?<![\p{{L}}\p{{N}}-])[zdp][.])|(?={_S}+\p{{Lu}})(?:(?<={_S}u[.])|(?<=\(s[.])|(?<=\b[Aa]m{_S}\p{{N}}{{1,2}}[.]))"
+    pairs = rf"(?={_S}?(?:B|h|ej)[.]|{_S}\p{{N}})(?<=(?<![\p{{L}}\p{{N}}-])[zdp][.])|(?={_S}+\p{{Lu}})(?:(?<={_S}u[.])|(?<=\(s[.])|(?<=\b[Aa]m{_S}\p{{N}}{{1,2}}[.])|(?={_S}A[.])(?<=\bS[.]))"
+    # before a comma, and a decimal torn apart behind a comparison
+    torn = rf"(?=[,;:])|(?= \p{{N}})(?<=[≥≤=<>;]{_S}?\p{{N}}{{1,3}}[.])"
     # scripts whose sentences don't end in a full stop
     script = rf"(?<=[\p{{IsDevanagari}}{_THAI}][.])"
-    return F.regexp_replace(t, rf"[.](?:{token}|(?=[.])|(?<=[.][.])|{script}|{never}|{going_on}|{pairs})", MASK)
+    return F.regexp_replace(t, rf"[.](?:{token}|(?=[.])|(?<=[.][.])|{script}|{never}|{going_on}|{caps}|{pairs}|{torn})", MASK)
 
 
 def _mask_signs(t: Column, wide: Column) -> Column:
     """Marks inside formulas and inside quotations that their sentence goes on after."""
-    formula = (rf"(?<=[?!])(?:(?={_S}?[/≥≤=<>×·^*+]|{_S}?&[lg]t;)|(?=[^\s{CLOSE}?!.\xa0　\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}])|(?<={_S}[?])(?=[?])|(?<={_S}[?]{{2}})(?={_S}+\p{{L}}))")
+    formula = (rf"(?<=[?!])(?:(?={_S}?(?:[/≥≤=<>×·^*+â]|&[lg]t;))|(?=[^\s{CLOSE}?!.\xa0　\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}])|(?<={_S}[?])(?=[?])|(?<={_S}[?]{{2}})(?={_S}+\p{{L}}))")
     # not the last mark of a quotation: the next mark closes one that isn't opened in between
-    inner = rf"(?={_S}?[^\s.!?\"«»‘-‟「-』。][^\n.!?\"«»‘-‟「-』。]{{0,24}}+[.!?{_END}]{_S}?[{_QUOTE_END}])"
-    on = (rf"(?={_S}?[{_QUOTE_END}](?:{_S}+(?:\p{{Ll}}|[\p{{IsDevanagari}}\p{{IsArabic}}{_THAI}]|[–—])|{_S}*[,;:，、；：؛،]|[とはがをのにで]))")
+    inner = rf"(?=[ \n\xa0]?[^.!?\"«\n‘-‟]{{1,24}}+[.!?][ \xa0]?[\"»’”])"
+    on = (rf"(?={_S}?Â?[{_QUOTE_END}](?:{_S}+(?:\p{{Ll}}|\p{{Lu}}{{2,}}{_S}+\p{{Lu}}{{2}}|[\p{{IsDevanagari}}\p{{IsArabic}}{_THAI}]|[–—])|{_S}*[,;:，、；：؛،]|[とはがをのにで]))")
     mask = lambda first: F.regexp_replace(t, rf"[{first}](?:{on}|{formula}|{inner})", MASK)
     return F.when(wide, mask(".!?" + _END)).otherwise(mask(".!?"))
 
 
+def _mask_stutter(t: Column) -> Column:
+    """The mark of a last word that machine translation gave twice, mark and all."""
+    return F.regexp_replace(t, r"(?<=\s)(?=(\S{1,25}+(?: [.!?])?+)(?<=[.!?])[ \xa0]\1(?:\s|$))(\S* ?)[.!?]", "$2" + MASK)
+
+
 _CLAIM = (rf"(?:\(\d{{1,3}}\)|（\d{{1,3}}）|\d{{1,3}}[.{MASK})．](?!\d)|\d{{1,3}}{_S}?[–—](?!\d)"
           rf"|[【\[]?(?:請求項|权利要求|權利要求|Claim|Anspruch){_S}?\d{{1,3}}[】\]]?[.:)：]?)")
+_CLAIM = rf"(?:{_CLAIM}{_S}?){{1,2}}"  # its number may be given twice
 _LABEL = r"[\[【［]\d{2,6}[\]】］]"
 
 
 def _hard_cuts(t: Column) -> Column:
     """Cuts at blank lines and before paragraph labels and claims."""
     back = r"[ \t\r]{0,3}\n"
-    claim = (rf"(?=[ \t]*{_CLAIM}{_S}?\p{{L}})(?:(?<=[.!?{_END}…;；:：{CLOSE}{_THAI}]{back})|(?<![\p{{Ll}},{MASK}]{back})(?=[ \t]*{_CLAIM}{_S}?[\p{{Lu}}\p{{Lo}}])"
+    claim = (rf"(?=[ \t]*{_CLAIM}{_S}?[\p{{L}}|])(?:(?<=[.!?{_END}…;；:：{CLOSE}{_THAI}]{back})|(?<![\p{{Ll}},{MASK}]{back})(?=[ \t]*{_CLAIM}{_S}?[\p{{Lu}}\p{{Lo}}])"
              rf"|(?<=\p{{L}}{back})(?=[ \t]*\(?1[.{MASK})–—]?\)?{_S}?[–—]?{_S}?[\p{{Lu}}\p{{Lo}}]))")
     return F.regexp_replace(t, rf"\n(?:[ \t\r]*\n)+|\n(?:(?=[ \t]*{_LABEL})|{claim})", "$0" + CUT)
 
@@ -90,8 +102,8 @@ def _soft_cuts(t: Column, wrapped: Column, wide: Column, thai: Column) -> Column
 
     Texts without wide or Thai signs are spared their patterns.
     """
-    latin = rf"(?<=[.!?])[{CLOSE}]{{0,3}}(?:{_S}»)?(?={_S})|(?<=[.])(?=\p{{Lu}}\p{{Ll}})(?<={_WORD_END}[.])"
-    line = rf"(?<=[^\s,;:，；：、؛،{MASK}–—-][ \t\r]{{0,3}}\n)(?!{_S}*\p{{Ll}})"
+    latin = rf"(?<=[.!?])[{CLOSE}]{{0,3}}(?:{_S}Â?»)?(?={_S})|(?<=[.])(?=\p{{Lu}}\p{{Ll}})(?<={_WORD_END}[.])"
+    line = r"(?<=[^\s,;:，；：、؛،–—-][ \t\r]{0,3}\n)"
     ends = rf"[{_END}]+[{CLOSE}]{{0,3}}"
     # Thai: a space between two clauses, not before what goes on (to, than, the value, before, and, which, comprising)
     space = rf"[{_THAI}%)\"{MASK}](?={_S}+[{_THAI}])(?!{_S}+(?:ถึง|ค่าเ|ก่อน|และ|ซึ่ง|ประกอบด้วย|ที่|โดย))(?<=[{_THAI}][^\n]{{0,16}})"
@@ -124,11 +136,11 @@ def sentence_units(df: DataFrame, text: str, keep: Sequence[str], with_text: boo
     clean = F.when(F.col("_t").contains(CUT) | F.col("_t").contains(MASK), F.translate("_t", CUT + MASK, "��")).otherwise(F.col("_t"))
     has = lambda signs: F.lit(False) if not signs else F.col("_t").contains(signs[0]) | has(signs[1:])
     d = d.withColumns({"_wide": has(_END), "_thai": has("านร")})
-    d = d.withColumn("_m", _mask_signs(_mask_stops(clean), F.col("_wide")))
+    d = d.withColumn("_m", _mask_signs(_mask_stops(_mask_stutter(clean)), F.col("_wide")))
     # lines are wrapped where paragraphs stand apart by blank lines
     d = d.withColumn("_w", F.col("_m").rlike(r"\n[ \t\r]*\n"))
     d = d.withColumn("_h", F.split(_hard_cuts(F.col("_m")), CUT))
-    claim = rf"^{_S}*{_CLAIM}{_S}?\p{{L}}"
+    claim = rf"^{_S}*{_CLAIM}{_S}?[\p{{L}}|]"
     d = d.withColumn("_p", F.flatten(F.transform("_h", lambda p: F.when(p.rlike(claim), F.array(p)).otherwise(F.split(_soft_cuts(p, F.col("_w"), F.col("_wide"), F.col("_thai")), CUT)))))
     d = d.withColumn("_n", F.transform("_p", lambda p: F.length(p)))
     d = d.withColumn("_a", _starts(F.col("_n")))
