@@ -6,8 +6,6 @@ carried along, as the order of the fields matters. Null or empty lines give null
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,48 +13,57 @@ from ..functions import spatial as S
 from ..functions import text as T
 
 #: Labels of the fields, frequent misreadings of the odometer's, labels of other values.
-BATTERY_LABELS, RANGE_LABELS, ODO_LABELS = ("BATTERY", "BATT"), ("RANGE",), ("ODO", "TOTAL")
+BATTERY_LABELS, RANGE_LABELS = ("BATTERY", "BATT"), ("RANGE",)
 OTHER_LABELS = ("TRIP", "CURRENT", "AVG", "SPEED", "RANGE", "BATTERY", "BATT", "RIDE", "MIN")
 ANCHOR_CHARS = 24
 
 
-def _anchor(lines: Column, labels: tuple[str, ...]) -> Column:
-    return F.get(F.filter(lines, lambda x: (F.length(x["text"]) <= ANCHOR_CHARS) & T.line_matches(x["text"], labels)), F.lit(0))
+VALUES = {"battery": T.battery_value, "range": T.range_value, "odo": T.odo_value}
+
+
+def _read_lines(lines: Column) -> Column:
+    """Every line with what its text can be: values, labels and forms are worked out once and looked up afterwards."""
+    def one(x: Column, i: Column) -> Column:
+        t, short = x["t"], F.length(x["t"]) <= ANCHOR_CHARS
+        hit = lambda labels: short & T.line_matches(t, labels)
+        exact = short & (t.contains("ODO") | t.contains("TOTAL"))
+        return F.struct(
+            i.alias("i"), t.alias("text"), *(x["b"][c].alias(c) for c in ("left", "top", "right", "bottom")), *(f(t).alias(n) for n, f in VALUES.items()),
+            hit(BATTERY_LABELS).alias("is_battery"), hit(RANGE_LABELS).alias("is_range"), exact.alias("is_odo"),
+            (short & F.exists(T.tokens(t), _odo_like)).alias("like_odo"), T.line_matches(t, OTHER_LABELS).alias("is_other"),
+            T.is_bare_percent(t).alias("is_percent"), T.is_bare_odo(t).alias("is_bare_odo"))
+
+    upper = F.transform(lines, lambda x: F.struct(T.normalise_line(F.coalesce(x["text"], F.lit(""))).alias("t"), x.alias("b")))
+    return F.transform(upper, one)
+
+
+def _odo_like(token: Column) -> Column:
+    return T.token_matches(token, "ODO") | T.token_matches(token, "TOTAL")
 
 
-def _odo_anchor(lines: Column) -> Column:
-    short = lambda x: F.length(x["text"]) <= ANCHOR_CHARS
-    exact = F.get(F.filter(lines, lambda x: short(x) & (x["text"].contains("ODO") | x["text"].contains("TOTAL"))), F.lit(0))
-    words = lambda x: T.tokens(x["text"])
-    hit = lambda t: T.token_matches(t, "ODO") | T.token_matches(t, "TOTAL")
-    fuzzy = F.get(F.filter(lines, lambda x: short(x) & F.exists(words(x), hit)), F.lit(0))
-    # the misread label must not be read as part of the value
-    rest = F.array_join(F.filter(F.split(fuzzy["text"], r"\s+"), lambda w: ~F.exists(T.tokens(w), hit)), " ")
-    cleaned = F.when(fuzzy.isNotNull(), fuzzy.withField("text", rest))
-    return F.when(exact.isNotNull(), F.struct(exact.alias("line"), F.lit(False).alias("tolerant"))).when(
-        fuzzy.isNotNull(), F.struct(cleaned.alias("line"), F.lit(True).alias("tolerant")))
+def _first_line(flag: str) -> Column:
+    return F.get(F.filter("lines", lambda x: x[flag]), F.lit(0))
 
 
-def _extract(d: DataFrame, field: str, anchor: str, read: Callable[[Column], Column]) -> DataFrame:
+def _extract(d: DataFrame, field: str, anchor: str) -> DataFrame:
     """Adds the field: from the anchor's own line, else from the nearest free line below or beside it."""
     a = F.col(anchor)
-    own = read(a["text"])
-    free = F.filter("lines", lambda x: ~F.array_contains("used", x["i"]) & ~F.array_contains("reserved", x["i"]) & read(x["text"]).isNotNull() & S.below_or_beside(a, x))
-    near = F.array_min(F.transform(free, lambda x: F.struct(S.distance(a, x).alias("d"), x["i"].alias("i"), read(x["text"]).alias("v"), S.relation(a, x).alias("how"))))
-    d = d.withColumn("_own", own).withColumn("_near", F.when(a.isNotNull() & F.col("_own").isNull(), near))
-    at = F.coalesce(F.when(F.col("_own").isNotNull(), a["i"]), F.col("_near.i"))
+    free = F.filter("lines", lambda x: x[field].isNotNull() & ~F.array_contains("used", x["i"]) & ~F.array_contains("reserved", x["i"]) & S.below_or_beside(a, x))
+    near = F.array_min(F.transform(free, lambda x: F.struct(S.distance(a, x).alias("d"), x["i"].alias("i"), x[field].alias("v"), S.relation(a, x).alias("how"))))
+    d = d.withColumn("_near", F.when(a.isNotNull() & a[field].isNull(), near))
+    at = F.coalesce(F.when(a[field].isNotNull(), a["i"]), F.col("_near.i"))
     return d.withColumns({
-        field: F.coalesce("_own", "_near.v"),
+        field: F.coalesce(a[field], F.col("_near.v")),
         "used": F.when(at.isNotNull(), F.array_union("used", F.array(at))).otherwise(F.col("used")),
         "notes": F.when(at.isNull(), F.col("notes")).otherwise(F.array_append("notes", F.concat(F.lit(f"{field}: "), F.coalesce("_near.how", F.lit("merged label and value line"))))),
-    }).drop("_own", "_near")
+    }).drop("_near")
 
 
-def _lone(d: DataFrame, field: str, blocked: Column, candidates: Column, value: Callable[[Column], Column], note: str) -> DataFrame:
+def _lone(d: DataFrame, field: str, anchor: str, candidates: Column, note: str) -> DataFrame:
     """Fills a field that has no label from the only line of its form; several are ambiguous."""
-    d = d.withColumn("_c", F.when(F.col(field).isNull() & blocked, candidates)).withColumn("_one", F.when(F.size("_c") == 1, F.get("_c", F.lit(0))))
+    d = d.withColumn("_c", F.when(F.col(field).isNull() & F.col(anchor).isNull(), candidates)).withColumn("_one", F.when(F.size("_c") == 1, F.get("_c", F.lit(0))))
     return d.withColumns({
-        field: F.coalesce(F.col(field), value(F.col("_one.text"))),
+        field: F.coalesce(F.col(field), F.col(f"_one.{field}")),
         "used": F.when(F.col("_one").isNotNull(), F.array_union("used", F.array("_one.i"))).otherwise(F.col("used")),
         "notes": F.when(F.col("_one").isNotNull(), F.array_append("notes", F.lit(f"{field}: {note}")))
         .when(F.size("_c") > 1, F.array_append("notes", F.lit(f"{field}: ambiguous, skipped"))).otherwise(F.col("notes")),
@@ -66,24 +73,20 @@ def _lone(d: DataFrame, field: str, blocked: Column, candidates: Column, value:
 def parse_lines(df: DataFrame, lines: str) -> DataFrame:
     """Adds odo, battery, range and notes to rows with an ``array<struct<text,left,top,right,bottom,confidence>>``."""
     keep = df.columns
-    known = F.transform(F.col(lines), lambda x, i: F.struct(
-        i.alias("i"), T.normalise_line(F.coalesce(x["text"], F.lit(""))).alias("text"), x["left"].alias("left"), x["top"].alias("top"), x["right"].alias("right"),
-        x["bottom"].alias("bottom"), x["confidence"].cast("float").alias("confidence")))
-    d = df.withColumn("lines", F.coalesce(known, F.array().cast(f"array<{S.LINE}>")))
-    d = d.withColumns({"a_odo": _odo_anchor(F.col("lines")), "a_battery": _anchor(F.col("lines"), BATTERY_LABELS), "a_range": _anchor(F.col("lines"), RANGE_LABELS)})
-    d = d.withColumns({"tolerant": F.coalesce(F.col("a_odo.tolerant"), F.lit(False)), "a_odo": F.col("a_odo.line")})
+    d = df.withColumn("lines", _read_lines(F.col(lines)))
+    d = d.withColumns({"a_battery": _first_line("is_battery"), "a_range": _first_line("is_range"), "_exact": _first_line("is_odo"), "_like": _first_line("like_odo")})
+    # words of a misread label must not be read as part of the value
+    rest = F.array_join(F.filter(F.split("_like.text", r"\s+"), lambda w: ~F.exists(T.tokens(w), _odo_like)), " ")
+    d = d.withColumn("_odo", T.odo_value(rest)).withColumn("a_odo", F.coalesce("_exact", F.when(F.col("_like").isNotNull(), F.col("_like").withField("odo", F.col("_odo")))))
     d = d.withColumns({
         "reserved": F.array_compact(F.array("a_odo.i", "a_battery.i", "a_range.i")), "used": F.array().cast("array<int>"),
-        "notes": F.array_compact(F.array(F.when(F.col("tolerant"), "odo: label found by OCR-tolerant match"), F.when(F.col("a_odo").isNull(), "odo: no ODO anchor"))),
+        "notes": F.array_compact(F.array(F.when(F.col("_exact").isNull() & F.col("_like").isNotNull(), "odo: label found by OCR-tolerant match"), F.when(F.col("a_odo").isNull(), "odo: no ODO anchor"))),
     })
-    d = _extract(d, "battery", "a_battery", T.battery_value)
     unused = lambda x: ~F.array_contains("used", x["i"])
-    d = _lone(d, "battery", F.col("a_battery").isNull(), F.filter("lines", lambda x: unused(x) & T.is_bare_percent(x["text"]) & T.battery_value(x["text"]).isNotNull()),
-              T.battery_value, "standalone percentage")
-    d = _extract(d, "range", "a_range", T.range_value)
-    d = _extract(d, "odo", "a_odo", T.odo_value)
-    labels = F.filter("lines", lambda x: T.line_matches(x["text"], OTHER_LABELS))
-    d = d.withColumn("_labels", labels)
-    d = _lone(d, "odo", F.col("a_odo").isNull(), F.filter("lines", lambda x: unused(x) & T.is_bare_odo(x["text"]) & ~F.exists(
-        "_labels", lambda b: (b["i"] != x["i"]) & S.directly_below(b, x))), T.odo_value, "lone value line")
+    d = _extract(d, "battery", "a_battery")
+    d = _lone(d, "battery", "a_battery", F.filter("lines", lambda x: unused(x) & x["is_percent"] & x["battery"].isNotNull()), "standalone percentage")
+    d = _extract(d, "range", "a_range")
+    d = _extract(d, "odo", "a_odo")
+    d = d.withColumn("_labels", F.filter("lines", lambda x: x["is_other"]))
+    d = _lone(d, "odo", "a_odo", F.filter("lines", lambda x: unused(x) & x["is_bare_odo"] & ~F.exists("_labels", lambda b: (b["i"] != x["i"]) & S.directly_below(b, x))), "lone value line")
     return d.select(*keep, "odo", "battery", "range", "notes")

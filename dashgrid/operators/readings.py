@@ -79,6 +79,11 @@ def row_text() -> Column:
     return F.concat(F.lit("Odo: "), show("odoKm"), F.lit(" km · Battery: "), show("batteryPct"), F.lit("% · Range: "), show("rangeKm"))
 
 
+def time_text(style: str = "MMM d, y h:mm a") -> Column:
+    """The reading's time for display, in the session's zone."""
+    return F.date_format(F.timestamp_millis("timestamp"), style)
+
+
 def warnings(last_odo: Column) -> Column:
     """The checks of a reading that fail, as an array of names; null values fail none."""
     o, last = F.col("odoKm").cast("long"), last_odo.cast("long")

@@ -158,6 +158,7 @@ QUERIES = {
     "migrate_add_columns": lambda s, d: R.migrate(_r(s, d), {"debugJson": "string", "synced": "boolean"}).select("id", "debugJson", "synced"),
     "snapshot_diff": snapshot_diff,
     "row_rendering": lambda s, d: _r(s, d).select("id", R.row_text().alias("shown")),
+    "time_rendering": lambda s, d: _r(s, d).select("id", R.time_text().alias("shown")),
     "user_edited_flag": user_edited_flag,
     "sanity_warnings": sanity_warnings,
     "truth_first_per_hash": lambda s, d: _flat(T.truth_by_hash(_r(s, d)), "hash"),
@@ -263,6 +264,7 @@ ORACLE = {
  SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.id = b.id
  WHERE a.id IS NULL OR b.id IS NULL OR a.odoKm IS DISTINCT FROM b.odoKm OR a.batteryPct IS DISTINCT FROM b.batteryPct OR a.rangeKm IS DISTINCT FROM b.rangeKm""",
     "row_rendering": "SELECT id, 'Odo: ' || coalesce(CAST(odoKm AS VARCHAR), '–') || ' km · Battery: ' || coalesce(CAST(batteryPct AS VARCHAR), '–') || '% · Range: ' || coalesce(CAST(rangeKm AS VARCHAR), '–') AS shown FROM readings",
+    "time_rendering": "SELECT id, strftime(epoch_ms(timestamp), '%b %-d, %Y %-I:%M %p') AS shown FROM readings",
     "user_edited_flag": "SELECT id, odoKm IS DISTINCT FROM ocrOdo OR batteryPct IS DISTINCT FROM ocrBattery OR rangeKm IS DISTINCT FROM ocrRange AS edited FROM readings",
     "sanity_warnings": f"""SELECT id, array_to_string(list_filter([CASE WHEN NOT batteryPct BETWEEN 0 AND 100 THEN 'battery' END, CASE WHEN odoKm < last_odo THEN 'odo_lower' WHEN odoKm > CAST(last_odo AS BIGINT) + 1000 THEN 'odo_jump' END,
  CASE WHEN rangeKm > 250 THEN 'range' END], lambda x: x IS NOT NULL), ',') AS warnings FROM readings r LEFT JOIN {_LAST} l ON r.vehicleId = l.vehicleId""",

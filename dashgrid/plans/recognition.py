@@ -62,6 +62,14 @@ def separator_normalize(s: SparkSession, d: str) -> DataFrame:
     return ocr_lines(s, d).select("case_id", "i", X.normalise_separators(F.col("text")).alias("shown"))
 
 
+def line_boxes(s: SparkSession, d: str) -> DataFrame:
+    """Each line's box as text, its padded box and the region where its value is expected, in an image of 360 x 320."""
+    b = F.struct(F.col("x0").alias("left"), F.col("y0").alias("top"), F.col("x1").alias("right"), F.col("y1").alias("bottom"))
+    size = (F.lit(360), F.lit(320))
+    text = lambda r: F.when(r.isNotNull(), S.box_text(r))
+    return ocr_lines(s, d).select("case_id", "i", S.box_text(b).alias("box"), text(S.padded_box(b, *size)).alias("padded"), text(S.region_below(b, *size)).alias("below"))
+
+
 def nearest_value(s: SparkSession, d: str) -> DataFrame:
     """Per case, the line nearest to the first RANGE label among those below or beside it; the lower index wins ties."""
     c = ocr_cases(s, d).withColumn("a", F.get(F.filter("lines", lambda x: x["text"] == "RANGE"), F.lit(0))).where("a is not null")
@@ -157,7 +165,7 @@ def sharpness_gate(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "text_normalize": text_normalize, "fuzzy_label_match": fuzzy_label_match, "digit_repair": digit_repair, "field_value_parsers": field_value_parsers, "separator_normalize": separator_normalize,
-    "nearest_value": nearest_value, "dashboard_parse": dashboard_parse, "line_confidence": best_confidence, "reading_order": reading_order, "csv_cells": csv_cells,
+    "line_boxes": line_boxes, "nearest_value": nearest_value, "dashboard_parse": dashboard_parse, "line_confidence": best_confidence, "reading_order": reading_order, "csv_cells": csv_cells,
     "quad_metrics": quad_metrics, "ctc_decode": ctc_decode, "sharpness_gate": sharpness_gate,
     "otsu": _grid_query("threshold int", lambda g: (G.otsu(g),)),
     "box_blur": _grid_query("blurred string", lambda g: (_text(G.box_blur(g, 1)),)),
@@ -191,6 +199,10 @@ def _match_sql(labels: tuple[str, ...]) -> str:
     return f"({exact} OR len(list_filter({_TOKENS.format('t')}, lambda k: {' OR '.join(one('k', x) for x in labels)})) > 0)"
 
 
+def _box_sql(*edges: str) -> str:
+    return " || ".join(f"'{n}' || CAST({e} AS INTEGER)" for n, e in zip(("[L:", " T:", " R:", " B:"), edges)) + " || ']'"
+
+
 _INT = "TRY_CAST(nullif(regexp_extract({}, '{}', 1), '') AS INTEGER)"
 _ODO_TEXT = "regexp_replace(replace(replace(r, ',', ''), 'KM', ' '), '^\\s+|\\s+$', '', 'g')"
 _GRID = "WITH g AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(least(255, greatest(0, floor((CAST(x AS DOUBLE) + 1) * 127.5))) AS INTEGER)) lum FROM embeddings)"
@@ -226,6 +238,10 @@ ORACLE = {
  regexp_matches(t, '^[0-9]{{1,3}}\\s*%$') AS bare_percent, regexp_matches(t, '^[0-9O][0-9O.,]{{0,7}}\\s*[KLI][A-Z]{{0,2}}$') AS bare_odo FROM z""",
     "separator_normalize": f"""{_LINE_CTE}, s AS (SELECT *, regexp_extract(text, '[^.]*$') AS l, replace(text, '.', '') AS b FROM o)
  SELECT case_id, i, CASE WHEN NOT contains(text, '.') THEN text WHEN length(l) = 3 THEN b ELSE left(b, length(b) - length(l)) || '.' || l END AS shown FROM s""",
+    "line_boxes": f"""{_LINE_CTE}, r AS (SELECT *, greatest(0, x0 - floor(0.3::DOUBLE * (x1 - x0))) l, greatest(0, y1) tp, least(360, x1 + floor(0.6::DOUBLE * (x1 - x0))) r, least(320, y1 + floor(2.4::DOUBLE * (y1 - y0))) b FROM o)
+ SELECT case_id, i, {_box_sql('x0', 'y0', 'x1', 'y1')} AS box, {_box_sql('greatest(0, x0 - floor(0.06::DOUBLE * (x1 - x0)))', 'greatest(0, y0 - floor(0.12::DOUBLE * (y1 - y0)))',
+ 'least(360, x1 + floor(0.06::DOUBLE * (x1 - x0)))', 'least(320, y1 + floor(0.12::DOUBLE * (y1 - y0)))')} AS padded,
+ CASE WHEN r - l >= 8 AND b - tp >= 8 THEN {_box_sql('l', 'tp', 'r', 'b')} END AS below FROM r""",
     "nearest_value": f"""{_LINE_CTE}, a AS (SELECT * FROM o WHERE text = 'RANGE' QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY i) = 1),
  c AS (SELECT a.case_id, b.i, (a.x0 + a.x1) // 2 ax, (a.y0 + a.y1) // 2 ay, (b.x0 + b.x1) // 2 bx, (b.y0 + b.y1) // 2 cy, greatest(a.y1 - a.y0, 1) h, b.y1 - b.y0 lh, b.x0 < a.x1 AND b.x1 > a.x0 ov,
   greatest(b.x0 - a.x1, a.x0 - b.x1) gap, b.y0 - a.y1 dy, b.y0 < a.y1 AND b.y1 > a.y0 beside, a.y1 abot FROM a JOIN o b ON a.case_id = b.case_id AND a.i <> b.i),
