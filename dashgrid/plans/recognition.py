@@ -163,6 +163,11 @@ def sharpness_gate(s: SparkSession, d: str) -> DataFrame:
     return g.select("vec_id", F.round("score", 3).alias("score"), (F.col("score") < 60).alias("blurred"))
 
 
+def laplacian_variance(s: SparkSession, d: str) -> DataFrame:
+    """The sharpness kernel's score of every grid."""
+    return _grid_query("score double", lambda g: (G.sharpness(g),))(s, d).select("vec_id", F.round("score", 3).alias("score"))
+
+
 QUERIES = {
     "text_normalize": text_normalize, "fuzzy_label_match": fuzzy_label_match, "digit_repair": digit_repair, "field_value_parsers": field_value_parsers, "separator_normalize": separator_normalize,
     "line_boxes": line_boxes, "nearest_value": nearest_value, "dashboard_parse": dashboard_parse, "line_confidence": best_confidence, "reading_order": reading_order, "csv_cells": csv_cells,
@@ -172,7 +177,7 @@ QUERIES = {
     "gaussian_blur": _grid_query("blurred string", lambda g: (_text(G.gaussian5(g)),)),
     "adaptive_threshold": _grid_query("mask string", lambda g: (_text(G.adaptive_threshold(g, 3, 5)),)),
     "morph_close": _grid_query("mask string", lambda g: (_text(G.morph_close(g > 140, 1)),)),
-    "laplacian_variance": _grid_query("score double", lambda g: (round(G.sharpness(g), 3),)),
+    "laplacian_variance": laplacian_variance,
     "connected_components": _grid_query("components int,median_height int", lambda g: (G.label4(g > 127)[1], G.median_component_height(g > 127))),
     "clahe": _grid_query("equalised string", lambda g: (_text(G.clahe(g)[::4, ::4]),), 4),
     "illumination_flatten": _grid_query("flat string", lambda g: (_text(G.flatten_illumination(g)),)),
