@@ -17,6 +17,13 @@ QUANTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
 FIELDS = ("odoKm", "batteryPct", "rangeKm")
 
 
+def _documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The documents' columns; a table in fewer splits than there are cores is spread over them first, as texts are costly to work on."""
+    docs = table(spark, d, "documents").select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Median and high percentiles of each mode, run day and timing."""
     s = sketch_groups(table(spark, d, "batch_rows"), ["mode", "runDay"], MILLIS)
@@ -45,12 +52,12 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode_corpus(table(spark, d, "documents"), "text", ["doc_id"])
+    return encode_corpus(_documents(spark, d, "doc_id", "text"), "text", ["doc_id"])
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     """Documents that can be drawn, with their tokens and weights; checkpointed, as counting tokens is the costly part."""
-    docs = table(spark, d, "documents").select("doc_id", fold_source(F.col("source")).alias("source"), "text", quality(F.col("text"), F.col("translated_from")).alias("quality"))
+    docs = _documents(spark, d, "doc_id", "source", "text", "translated_from").select("doc_id", fold_source(F.col("source")).alias("source"), "text", quality(F.col("text"), F.col("translated_from")).alias("quality"))
     sized = encode_corpus(docs.where("source is not null"), "text", ["doc_id", "source", "quality"], ids=False).where("n_tokens > 0")
     ensure_checkpoint_dir(spark)
     return sized.checkpoint()
@@ -68,11 +75,11 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentence_units(table(spark, d, "documents"), "text", ["doc_id"])
+    return sentence_units(_documents(spark, d, "doc_id", "text"), "text", ["doc_id"])
 
 
 def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return sentence_units(table(spark, d, "documents"), "text", ["doc_id", "lang"], with_text=True)
+    return sentence_units(_documents(spark, d, "doc_id", "lang", "text"), "text", ["doc_id", "lang"], with_text=True)
 
 
 QUERIES = {"p2_percentiles": p2_percentiles, "p2_whole_period": p2_whole_period, "p4_found": p4_found, "p4_records": p4_records, "p6_ids": p6_ids,
