@@ -38,9 +38,8 @@ def append(r: DataFrame, new: DataFrame) -> DataFrame:
     sizes = part.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))  # one row a partition
     w = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select("_p", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_o"))
-    top = r.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    out = part.join(offsets, "_p").join(top)
-    return out.withColumn("id", F.col("_top") + F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_m", "_p", "_o", "_top")
+    top = r.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    return part.join(offsets, "_p").withColumn("id", top + F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_m", "_p", "_o")
 
 
 def set_hashes(r: DataFrame, updates: DataFrame) -> DataFrame:
