@@ -20,8 +20,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SECTIONS = 3
@@ -172,7 +171,7 @@ def merge_sketches(sketches: DataFrame, groups: Sequence[str], folded: bool = Fa
     return s.repartition(*groups, "metric").mapInArrow(fold, s.schema)
 
 
-def read_sketches(sketches: DataFrame, qs: dict[str, float], bound: Column | None = None) -> DataFrame:
+def read_sketches(sketches: DataFrame, qs: dict[str, float]) -> DataFrame:
     """Adds n and one column per quantile, and drops the sketch."""
     keep = [f for f in sketches.schema.fields if f.name != "sketch"]
     schema = T.StructType([*keep, T.StructField("n", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in qs)])
