@@ -1,14 +1,15 @@
 """Implausible values in measurements, judged by each source's own behaviour.
 
-Method: per source a *track* is built from all its records, one entry per five-minute slot, and a
-Hampel filter (rolling median and median absolute deviation) runs over the track; stuck values are
-found as repeats of a value after the source's other records (first showings, batch values) moved on;
-physical bounds come first. Every raw row is then held against its own track entry by an equi-join.
+Method: per source a *track* is built from all its records, one entry per five-minute slot that holds
+each distinct value with its number of records, and a Hampel filter (rolling median and median absolute
+deviation, weighted by each value's share of its slot) runs over the track; stuck values are found, each distinct value of
+a slot by itself, as repeats of a value after the source's other records (first showings, batch values)
+moved on; physical bounds come first. Every raw row is then held against its own track entry by an equi-join.
 
-Scale: the track is pre-aggregated map-side with plain min/max/sum, so a source that holds a third of
-all rows contributes at most one entry per slot of the period, and the rolling windows run over those
-entries, never over raw rows. Raw rows meet the track on (source, slot), a key that spreads a hot
-source over all its slots.
+Scale: equal records of a slot are counted map-side, so a source that holds a third of all rows
+contributes one entry per slot of the period, as large as the slot's distinct values, and the rolling
+windows run over those entries, never over raw rows. Raw rows meet the track on (source, slot), a key
+that spreads a hot source over all its slots.
 
 Defined results: null values and nulls in any other column give no case for that value; a row without
 a source or with a clock outside the period is judged by the bounds (and, if its source is known, by
@@ -27,6 +28,8 @@ from pyspark.sql.window import Window as W
 from ..session import PERIOD_END_MS, PERIOD_START_MS
 
 MAD_SCALE = 1.4826
+#: Weight of a slot's readings, or batch values, in the rolling windows; up to 16 records share it without a rest.
+VOTE = 720_720
 
 
 @dataclass(frozen=True)
@@ -56,6 +59,30 @@ def _millis(c: str) -> Column:
     return F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})")
 
 
+def _pack(value: Column, n: Column) -> Column:
+    """A whole value from 0 and its number of records as one long that sorts by the value; null if the value is."""
+    return F.shiftleft(value.cast("long"), 32) + n
+
+
+def _value(e: Column) -> Column:
+    return F.shiftright(e, 32).cast("int")
+
+
+def _n(e: Column) -> Column:
+    return e.bitwiseAND(F.lit((1 << 32) - 1))
+
+
+def _ranked(a: Column, **ranks: Column) -> Column:
+    """Struct of the values at 0-based ranks of a sorted array of packed values, each counted n times; nulls if empty."""
+    zero = F.struct(F.lit(0).cast("long").alias("c"), *(F.lit(None).cast("int").alias(x) for x in ranks))
+    return F.aggregate(a, zero, lambda s, e: F.struct((s["c"] + _n(e)).alias("c"), *(F.when(s["c"] <= k, _value(e)).otherwise(s[x]).alias(x) for x, k in ranks.items())))
+
+
+def _mids(n: str) -> dict[str, Column]:
+    """Ranks of the lower and the upper median of so many values."""
+    return {"lo": F.expr(f"({n} - 1) div 2"), "hi": F.expr(f"{n} div 2")}
+
+
 def _med(a: Column) -> Column:
     """Lower median of a sorted array, null if empty."""
     return F.get(a, F.floor((F.size(a) - 1) / 2).cast("int"))
@@ -66,7 +93,7 @@ def _between(c: Column, lo: float, hi: float) -> Column:
 
 
 def build_track(readings: DataFrame, batch_rows: DataFrame, p: SpikeParams) -> DataFrame:
-    """One row per source and slot: extremes of the odometer by kind of record, levels of battery and range."""
+    """One row per source and slot: the odometer's values with their counts by kind of record, levels of battery and range."""
     r = readings.where(F.col("timestamp").between(p.start_ms, p.end_ms - 1) & F.col("vehicleId").isNotNull()).select(
         F.col("vehicleId").alias("v"), F.expr(f"timestamp div {p.slot_ms}").alias("slot"),
         _between(F.col("odoKm"), 0, p.odo_max).alias("o"), _between(F.col("batteryPct"), 0, 100).alias("b"),
@@ -81,61 +108,80 @@ def build_track(readings: DataFrame, batch_rows: DataFrame, p: SpikeParams) -> D
         _between(F.col("range"), 0, p.range_max).alias("br"),
     )
 
-    def mid(c: str) -> Column:  # the median of up to three values, a trimmed mean of more
-        n = F.count(c)
-        return F.when(n > 2, (F.sum(c) - F.min(c) - F.max(c)) / (n - 2)).otherwise(F.sum(c) / n)
+    values = ["o", "bo", "b", "r", "bb", "br"]
+    counted = r.unionByName(b).groupBy("v", "slot", *values).agg(F.count("*").alias("n"))
+    # the slot that first shows a value; rows without one are kept apart by their slots
+    of_value = W.partitionBy("v", "o", F.when(F.col("o").isNull(), F.col("slot")))
+    new = F.min("slot").over(of_value) == F.col("slot")
+    t = counted.withColumn("new", new).groupBy("v", "slot").agg(
+        *(F.collect_list(_pack(F.col(c), F.col("n"))).alias(c) for c in values), *(F.sum(F.when(F.col(c).isNotNull(), F.col("n"))).alias(f"n{c}") for c in values),
+        F.collect_set(F.when(F.col("new"), F.col("o"))).alias("fresh"), F.collect_set(F.when(~F.col("new"), F.col("o"))).alias("again"))
 
-    return r.unionByName(b).groupBy("v", "slot").agg(
-        F.min("o").alias("omin"), F.max("o").alias("omax"), F.min("bo").alias("bomin"), F.max("bo").alias("bomax"),
-        F.avg("b").alias("b"), F.avg("r").alias("r"), mid("bb").alias("bb"), mid("br").alias("br"),
-        F.count("bb").alias("nbb"), F.count("br").alias("nbr"),
-    )
+    def level(c: str) -> Column:
+        m = _ranked(F.sort_array(c), **_mids(f"n{c}"))
+        return F.when(F.size(c) == 1, _value(F.get(c, F.lit(0))).cast("double")).otherwise((m["lo"] + m["hi"]) / 2)
+
+    # a slot's readings, and likewise its batch values, have one vote together in the rolling windows, shared by their counts
+    share = lambda c: F.transform(c, lambda e: _pack(_value(e), F.greatest(F.lit(1), F.floor(_n(e) * VOTE / F.col(f"n{c}")))))
+    t = t.withColumn("ext", F.concat(share("o"), share("bo")))
+    return t.select("v", "slot", "ext", F.aggregate("ext", F.lit(0).cast("long"), lambda s, e: s + _n(e)).alias("n"), "o", "bo", "fresh", "again",
+                    *(F.when(F.size(c) > 0, level(c)).alias(c) for c in ("b", "r", "bb", "br")), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("nbb", "nbr")))
 
 
 def judge_track(track: DataFrame, p: SpikeParams) -> DataFrame:
     """Adds to every slot what its neighbours tell: odometer band, stuck value, expected battery and range."""
     w = W.partitionBy("v").orderBy("slot")
     past, full = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, 0)
-    side = lambda a, z: F.array_sort(F.flatten(F.collect_list(F.col("ext")).over(w.rowsBetween(a, z))))
-    h, q = p.half, p.ratio_half
+    near, before, after = w.rowsBetween(-p.half, p.half), w.rowsBetween(-p.half, -1), w.rowsBetween(1, p.half)
+    q = p.ratio_half
+    wq = w.rowsBetween(-q, q)
     both = F.col("b").isNotNull() & F.col("r").isNotNull()
-    t = track.withColumn("ext", F.array_compact(F.array("omin", "omax", "bomin", "bomax"))).withColumns({
-        "near": side(-h, h), "before": side(-h, -1), "after": side(1, h),
-        "k": F.sum(F.when(both, F.col("r"))).over(w.rowsBetween(-q, q)) / F.nullif(F.sum(F.when(both, F.col("b"))).over(w.rowsBetween(-q, q)), F.lit(0)),
+    kinds = (F.size("o") > 0).cast("int") + (F.size("bo") > 0).cast("int")
+    t = track.withColumn("kinds", kinds).withColumns({
+        "k": F.sum(F.when(both, F.col("r"))).over(wq) / F.nullif(F.sum(F.when(both, F.col("b"))).over(wq), F.lit(0)),
+        **{c: F.sort_array(F.flatten(F.collect_list("ext").over(x))) for c, x in (("near", near), ("before", before), ("after", after))},
+        **{f"n_{c}": F.coalesce(F.sum("n").over(x), F.lit(0)) for c, x in (("near", near), ("before", before), ("after", after))},
+        "few": (2 * F.coalesce(F.sum("kinds").over(before), F.lit(0)) < p.half) | (2 * F.coalesce(F.sum("kinds").over(after), F.lit(0)) < p.half),
     })
     # odometer: the Hampel centre and scale, and the band spanned by what was shown before and after
-    t = t.withColumn("med", _med(F.col("near"))).withColumn(
-        "mad", _med(F.array_sort(F.transform("near", lambda x: F.abs(x - F.col("med"))))))
-    lo_b, hi_b = _med(F.col("before")), F.get("before", F.floor(F.size("before") / 2).cast("int"))
-    lo_a, hi_a = _med(F.col("after")), F.get("after", F.floor(F.size("after") / 2).cast("int"))
+    t = t.withColumns({
+        "near_at": _ranked(F.col("near"), med=_mids("n_near")["lo"], q1=F.expr("n_near div 4"), q3=F.expr("3 * n_near div 4")),
+        "before": _ranked(F.col("before"), **_mids("n_before")), "after": _ranked(F.col("after"), **_mids("n_after")),
+    })
+    med, b4, aft = F.col("near_at.med"), F.col("before"), F.col("after")
+    off = F.sort_array(F.transform("near", lambda e: _pack(F.abs(_value(e) - med), _n(e))))
+    t = t.withColumn("mad", _ranked(off, at=_mids("n_near")["lo"])["at"])
     tol = F.greatest(F.lit(p.odo_floor), p.n_sigma * MAD_SCALE * F.col("mad"))
-    n = F.size("near")
-    spread = F.get("near", F.floor(3 * n / 4).cast("int")) - F.get("near", F.floor(n / 4).cast("int"))
-    slack = p.odo_floor + F.when((F.size("before") < h) | (F.size("after") < h), 2 * spread).otherwise(0)  # one-sided near a source's ends
+    slack = p.odo_floor + F.when(F.col("few"), 2 * (F.col("near_at.q3") - F.col("near_at.q1"))).otherwise(0)  # one-sided near a source's ends
     t = t.withColumns({
-        "h_lo": F.col("med") - tol, "h_hi": F.col("med") + tol,
-        "n_lo": F.least(lo_b, lo_a) - slack, "n_hi": F.greatest(hi_b, hi_a) + slack,
+        "h_lo": med - tol, "h_hi": med + tol,
+        "n_lo": F.least(b4["lo"], aft["lo"]) - slack, "n_hi": F.greatest(b4["hi"], aft["hi"]) + slack,
         "eb": F.coalesce("b", F.col("r") / F.nullif("k", F.lit(0))), "er": F.coalesce("r", F.col("b") * F.col("k")),
-    })
-    ok = lambda c: F.when(~((F.col(c) < F.col("h_lo")) & (F.col(c) < F.col("n_lo")) | (F.col(c) > F.col("h_hi")) & (F.col(c) > F.col("n_hi"))), F.col(c))
+    }).drop("near", "before", "after", "near_at", "ext")
+    ok = lambda x: ~((x < F.col("h_lo")) & (x < F.col("n_lo")) | (x > F.col("h_hi")) & (x > F.col("n_hi")))
     # stuck: a repeated value while the odometer's anchors (first showings and batch values) have moved on
-    t = t.withColumns({"cur": F.coalesce(ok("omax"), ok("omin")), "bcur": F.coalesce(ok("bomin"), ok("bomax"))})
-    t = t.withColumns({"prev": F.last("cur", True).over(past), "pslot": F.last(F.when(F.col("cur").isNotNull(), F.col("slot")), True).over(past)})
-    first = F.col("cur").isNotNull() & ~F.col("cur").eqNullSafe(F.col("prev"))
-    anchor = F.when(F.col("bcur").isNotNull() | first, F.struct("slot", F.coalesce("bcur", "cur").alias("val"), (F.col("slot") - F.col("pslot")).alias("gap")))
-    wq = w.rowsBetween(-q, q)
-    step = F.greatest(F.lit(0), F.least(F.lit(p.step_max_km), F.col("cur") - F.col("prev")))
+    t = t.withColumns({"fresh": F.filter("fresh", ok), "again": F.filter("again", ok), "bo": F.sort_array(F.filter("bo", lambda e: ok(_value(e))))})
+    t = t.withColumn("nbo", F.aggregate("bo", F.lit(0).cast("long"), lambda s, e: s + _n(e)))
+    t = t.withColumns({"cur": F.array_max(F.concat("fresh", "again")), "low": F.array_min(F.concat("fresh", "again")), "first": F.array_max("fresh"),
+                       "bcur": _ranked(F.col("bo"), at=_mids("nbo")["lo"])["at"]})
+    t = t.withColumns({"prev": F.last("first", True).over(past), "pslot": F.last(F.when(F.col("cur").isNotNull(), F.col("slot")), True).over(past)})
+    anchor = F.when(F.coalesce("bcur", "first").isNotNull(), F.struct("slot", F.coalesce("bcur", "first").alias("val"), (F.col("slot") - F.col("pslot")).alias("gap")))
+    step = F.when(F.col("first") > F.col("prev"), F.least(F.lit(p.step_max_km), F.col("first") - F.col("prev"))).otherwise(0)
+    rate = lambda x: F.sum(step).over(x) / F.greatest(F.lit(1), F.max("slot").over(x) - F.min("slot").over(x))
     t = t.withColumn("anchor", anchor).withColumns({
-        "rate": F.sum(step).over(wq) / F.greatest(F.lit(1), F.max("slot").over(wq) - F.min("slot").over(wq)),
+        "rate": F.greatest(rate(wq), rate(W.partitionBy("v"))),  # the whole source's where it stood still for long
         "pa": F.last("anchor", True).over(full),
-        "na": F.last("anchor", True).over(W.partitionBy("v").orderBy(F.desc("slot")).rowsBetween(W.unboundedPreceding, 0)),
+        "na": F.last("anchor", True).over(W.partitionBy("v").orderBy(F.desc("slot")).rowsBetween(W.unboundedPreceding, -1)),
     })
     pa, na = F.col("pa"), F.col("na")
     share = (F.col("slot") - pa["slot"]) / F.greatest(F.lit(1), na["slot"] - pa["slot"])
-    reckoned = F.when(na.isNull(), pa["val"]).otherwise(pa["val"] + share * (na["val"] - pa["val"]))
+    # a slot's own first showing may be misread upwards, so the next anchor must bear it out
+    reckoned = (F.when(na.isNull(), pa["val"]).when(F.col("bcur").isNull() & F.col("first").isNotNull(), F.least(pa["val"], na["val"]))
+                .otherwise(pa["val"] + share * (na["val"] - pa["val"])))
     # the distance up to the next anchor can't all have been driven after the last unchanged record
-    moved = F.col("bcur").isNotNull() | na.isNull() | (na["val"] - pa["val"] > p.stuck_km + p.rate_factor * F.col("rate") * na["gap"])
-    t = t.withColumn("stuck", F.col("cur").isNotNull() & ~first & moved & (reckoned - F.col("cur") > p.stuck_km) & (reckoned - F.col("cur") < p.stuck_max_km))
+    moved = F.when(F.col("bcur").isNull(), na["val"] - p.stuck_km - p.rate_factor * F.col("rate") * na["gap"])
+    t = t.withColumn("reckoned", reckoned).withColumn("moved", F.least(F.col("reckoned") - p.stuck_km, moved))
+    t = t.withColumn("stuck_at", F.filter("again", lambda x: (x < F.col("moved")) & (x > F.col("reckoned") - p.stuck_max_km)))
     # battery and range of batch rows: residuals against what the slot's other records tell
     t = t.withColumns({"eb": F.coalesce("eb", F.when(F.col("nbb") > 1, F.col("bb"))), "er": F.coalesce("er", F.when(F.col("nbr") > 1, F.col("br")))})
     wl = w.rowsBetween(-p.level_half, p.level_half)
@@ -147,15 +193,15 @@ def judge_track(track: DataFrame, p: SpikeParams) -> DataFrame:
         mad = _med(F.array_sort(F.transform(res, lambda x: F.abs(x - centre))))
         width = F.greatest(F.lit(floor), F.least(F.lit(1.5 * floor), p.n_sigma * MAD_SCALE * mad))
         out |= {f"{c}_lo": F.col(e) + centre - width, f"{c}_hi": F.col(e) + centre + width}
-    return t.withColumns(out).select("v", "slot", "cur", "h_lo", "h_hi", "n_lo", "n_hi", F.when(F.col("stuck"), F.col("cur")).alias("stuck_at"), *out)
+    return t.withColumns(out).select("v", "slot", "low", "cur", "h_lo", "h_hi", "n_lo", "n_hi", F.when(F.size("stuck_at") > 0, F.col("stuck_at")).alias("stuck_at"), *out)
 
 
 def find_spikes(readings: DataFrame, batch_rows: DataFrame, p: SpikeParams = SpikeParams()) -> DataFrame:
     """Every implausible value as (record, record_id, field, vehicle_id, value, reason)."""
     judged = judge_track(build_track(readings, batch_rows, p), p)
     # slot -1 holds the extent of each source, for records whose clock is no help
-    extent = judged.groupBy("v").agg((F.min("cur") - p.odo_floor).alias("h_lo"), (F.max("cur") + p.odo_floor).alias("h_hi")).select(
-        "v", F.lit(-1).cast("long").alias("slot"), "h_lo", "h_hi", F.col("h_lo").alias("n_lo"), F.col("h_hi").alias("n_hi"), F.lit(None).cast("int").alias("stuck_at"))
+    extent = judged.groupBy("v").agg((F.min("low") - p.odo_floor).alias("h_lo"), (F.max("cur") + p.odo_floor).alias("h_hi")).select(
+        "v", F.lit(-1).cast("long").alias("slot"), "h_lo", "h_hi", F.col("h_lo").alias("n_lo"), F.col("h_hi").alias("n_hi"), F.lit(None).cast("array<int>").alias("stuck_at"))
     odo_side = judged.select("v", "slot", "h_lo", "h_hi", "n_lo", "n_hi", "stuck_at").unionByName(extent)
     in_time = F.col("timestamp").between(p.start_ms, p.end_ms - 1)
     rows = readings.select(F.col("id").alias("record_id"), F.col("vehicleId").alias("v"), "timestamp", "odoKm", in_time.alias("in_time"),
@@ -166,7 +212,7 @@ def find_spikes(readings: DataFrame, batch_rows: DataFrame, p: SpikeParams = Spi
         F.struct(F.lit("odoKm").alias("field"), o.cast("long").alias("value"),
                  F.when(~o.between(0, p.odo_max), F.lit("bounds"))
                  .when((o < F.col("h_lo")) & (o < F.coalesce("n_lo", "h_lo")) | (o > F.col("h_hi")) & (o > F.coalesce("n_hi", "h_hi")), F.lit("spike"))
-                 .when(o == F.col("stuck_at"), F.lit("stuck")).alias("reason")),
+                 .when(F.array_contains("stuck_at", o), F.lit("stuck")).alias("reason")),
     ).alias("f"))
     ms = _millis("capturedAt")
     brow = batch_rows.select(F.col("rowId").alias("record_id"), F.col("vehicleId").alias("v"), F.floor(ms / p.slot_ms).alias("slot"), "battery", "range")

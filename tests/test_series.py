@@ -76,6 +76,22 @@ def test_lasting_level_is_no_case(spark):
     assert flags(spark, r) == set()
 
 
+def test_dense_slots_with_spikes_at_their_extremes(spark):
+    r, spikes = [], set()
+    for i, x in enumerate(trip(40)):
+        for k, odo in enumerate([x[3]] * 7 + [x[3] - 2000 + 311 * (i % 5), x[3] + 2500 + 677 * (i % 7)]):
+            r.append([10 * i + k, 1, x[2] + 1000 * k, odo, None, None])
+            spikes |= {("readings", 10 * i + k, "odoKm")} if k > 6 else set()
+    assert flags(spark, r) == spikes
+
+
+def test_stuck_value_beside_the_moved_on_one(spark):
+    r = [[i, 1, x[2], x[3], None, None] for i, x in enumerate(trip(40))]
+    r += [[100 + i, 1, r[i][2] + 1000, r[5][3], None, None] for i in range(5, 13)]   # a second display, frozen at slot 5
+    got = flags(spark, r)
+    assert {("readings", 100 + i, "odoKm") for i in range(8, 13)} <= got <= {("readings", 100 + i, "odoKm") for i in range(6, 13)}
+
+
 def test_batch_levels(spark):
     r = trip()
     b = [[100 + i, 1, x[2], x[3], x[4], x[5]] for i, x in enumerate(r)]
