@@ -182,8 +182,8 @@ def judge_track(track: DataFrame, p: SpikeParams) -> DataFrame:
     moved = F.when(F.col("bcur").isNull(), na["val"] - p.stuck_km - p.rate_factor * F.col("rate") * na["gap"])
     t = t.withColumn("reckoned", reckoned).withColumn("moved", F.least(F.col("reckoned") - p.stuck_km, moved))
     t = t.withColumn("stuck_at", F.filter("again", lambda x: (x < F.col("moved")) & (x > F.col("reckoned") - p.stuck_max_km)))
+    t = _expect_unsaved(t, p, wq)
     # battery and range of batch rows: residuals against what the slot's other records tell
-    t = t.withColumns({"eb": F.coalesce("eb", F.when(F.col("nbb") > 1, F.col("bb"))), "er": F.coalesce("er", F.when(F.col("nbr") > 1, F.col("br")))})
     wl = w.rowsBetween(-p.level_half, p.level_half)
     t = t.withColumns({"resb": F.array_sort(F.collect_list(F.col("bb") - F.col("eb")).over(wl)), "resr": F.array_sort(F.collect_list(F.col("br") - F.col("er")).over(wl))})
     out = {}
@@ -193,16 +193,53 @@ def judge_track(track: DataFrame, p: SpikeParams) -> DataFrame:
         mad = _med(F.array_sort(F.transform(res, lambda x: F.abs(x - centre))))
         width = F.greatest(F.lit(floor), F.least(F.lit(1.5 * floor), p.n_sigma * MAD_SCALE * mad))
         out |= {f"{c}_lo": F.col(e) + centre - width, f"{c}_hi": F.col(e) + centre + width}
-    return t.withColumns(out).select("v", "slot", "low", "cur", "h_lo", "h_hi", "n_lo", "n_hi", F.when(F.size("stuck_at") > 0, F.col("stuck_at")).alias("stuck_at"), *out)
+    return t.withColumns(out).select("v", "slot", "low", "cur", "h_lo", "h_hi", "n_lo", "n_hi", F.when(F.size("stuck_at") > 0, F.col("stuck_at")).alias("stuck_at"), *out, "frozen_b", "frozen_r")
+
+
+def _expect_unsaved(t: DataFrame, p: SpikeParams, wq) -> DataFrame:
+    """Fills the expected battery and range of slots whose readings saved neither, and marks frozen displays there.
+
+    One field tells the other by the km-per-percent ratio if a neighbouring slot, less what was driven since, bears it
+    out; else two neighbours that agree tell it; else the photo's other runs. A display is frozen while it shows the same
+    battery and range, which the vehicle shows in one run of at least three photos only, after driving too far for that.
+    """
+    order = "OVER (PARTITION BY v ORDER BY slot)"
+    pair = F.col("bb").isNotNull() & F.col("br").isNotNull()
+    ratio = F.sum(F.when(pair, F.col("br"))).over(wq) / F.nullif(F.sum(F.when(pair, F.col("bb"))).over(wq), F.lit(0))
+    t = t.withColumns({
+        "unsaved": F.col("b").isNull() & F.col("r").isNull(), "k": F.coalesce(F.nullif("k", F.lit(0)), F.nullif(ratio, F.lit(0))), "km": F.coalesce("bcur", "reckoned"),
+        "photo": F.when(pair, F.struct("bb", "br")), "level": F.when(F.coalesce("eb", "bb").isNotNull() & F.coalesce("er", "br").isNotNull() & F.coalesce("bcur", "reckoned").isNotNull(), F.struct(
+            F.coalesce("bcur", "reckoned").alias("km"), F.coalesce("eb", "bb").alias("b"), F.coalesce("er", "br").alias("r"))),
+    })
+    t = t.withColumns({"last": F.expr(f"lag(level) IGNORE NULLS {order}"), "next": F.expr(f"lead(level) IGNORE NULLS {order}"), "shown": F.expr(f"lag(photo) IGNORE NULLS {order}")})
+    used, left = F.col("km") - F.col("last.km"), F.col("next.km") - F.col("km")
+    fill = {}
+    for c, other, floor, per in (("b", F.col("br") / F.col("k"), p.battery_floor, F.col("k")), ("r", F.col("bb") * F.col("k"), p.range_floor, F.lit(1))):
+        before, after = F.col(f"last.{c}") - used / per, F.col(f"next.{c}") + left / per
+        borne_out = (F.abs(other - before) <= floor) | (F.abs(other - after) <= floor)
+        told = F.coalesce(F.when(borne_out, other), F.when(F.abs(before - after) <= floor, (before + after) / 2))
+        fill[f"e{c}"] = F.coalesce(f"e{c}", F.when(F.col("unsaved"), told), F.when(F.col(f"nb{c}") > 1, F.col(f"b{c}")))
+    begins = F.col("photo").isNotNull() & ~F.col("photo").eqNullSafe(F.col("shown"))
+    t = t.withColumns(fill).withColumn("begins", begins)
+    t = t.withColumn("since", F.last(F.when(F.col("begins"), F.col("km")), True).over(W.partitionBy("v").orderBy("slot").rowsBetween(W.unboundedPreceding, 0)))
+    alike = W.partitionBy("v", "photo")
+    one_run = (F.sum(F.col("begins").cast("int")).over(alike) == 1) & (F.count("photo").over(alike) >= 3) & (F.count("photo").over(alike) < F.count("photo").over(W.partitionBy("v")))
+    far = (F.col("km") - F.col("since") > p.battery_floor * F.col("k")) & (F.col("km") - F.col("since") > p.range_floor)
+    frozen = F.col("photo").isNotNull() & ~F.col("begins") & F.col("unsaved") & one_run & far
+    return t.withColumns({f"frozen_{c}": F.when(frozen, F.col(f"b{c}")) for c in "br"})
 
 
 def find_spikes(readings: DataFrame, batch_rows: DataFrame, p: SpikeParams = SpikeParams()) -> DataFrame:
     """Every implausible value as (record, record_id, field, vehicle_id, value, reason)."""
     judged = judge_track(build_track(readings, batch_rows, p), p)
-    # slot -1 holds the extent of each source, for records whose clock is no help
-    extent = judged.groupBy("v").agg((F.min("low") - p.odo_floor).alias("h_lo"), (F.max("cur") + p.odo_floor).alias("h_hi")).select(
-        "v", F.lit(-1).cast("long").alias("slot"), "h_lo", "h_hi", F.col("h_lo").alias("n_lo"), F.col("h_hi").alias("n_hi"), F.lit(None).cast("array<int>").alias("stuck_at"))
-    odo_side = judged.select("v", "slot", "h_lo", "h_hi", "n_lo", "n_hi", "stuck_at").unionByName(extent)
+    # slot -1 holds the extent of each source, for records whose clock is no help; it goes out beside the source's last slot
+    whole = W.partitionBy("v")
+    band = lambda slot, lo, hi, n_lo, n_hi, stuck: F.struct(slot.alias("slot"), lo.alias("h_lo"), hi.alias("h_hi"), n_lo.alias("n_lo"), n_hi.alias("n_hi"), stuck.alias("stuck_at"))
+    lo, hi = F.min("low").over(whole) - p.odo_floor, F.max("cur").over(whole) + p.odo_floor
+    ends = judged.select("v", "slot", "h_lo", "h_hi", "n_lo", "n_hi", "stuck_at", lo.alias("lo"), hi.alias("hi"), (F.max("slot").over(whole) == F.col("slot")).alias("ends"))
+    own = band(*(F.col(c) for c in ("slot", "h_lo", "h_hi", "n_lo", "n_hi", "stuck_at")))
+    extent = band(F.lit(-1).cast("long"), F.col("lo"), F.col("hi"), F.col("lo"), F.col("hi"), F.lit(None).cast("array<int>"))
+    odo_side = ends.select("v", F.explode(F.when(F.col("ends"), F.array(own, extent)).otherwise(F.array(own))).alias("e")).select("v", "e.*")
     in_time = F.col("timestamp").between(p.start_ms, p.end_ms - 1)
     rows = readings.select(F.col("id").alias("record_id"), F.col("vehicleId").alias("v"), "timestamp", "odoKm", in_time.alias("in_time"),
                            F.when(in_time, F.expr(f"timestamp div {p.slot_ms}")).otherwise(F.lit(-1)).alias("slot"))
@@ -216,12 +253,12 @@ def find_spikes(readings: DataFrame, batch_rows: DataFrame, p: SpikeParams = Spi
     ).alias("f"))
     ms = _millis("capturedAt")
     brow = batch_rows.select(F.col("rowId").alias("record_id"), F.col("vehicleId").alias("v"), F.floor(ms / p.slot_ms).alias("slot"), "battery", "range")
-    brow = brow.join(judged.select("v", "slot", "b_lo", "b_hi", "r_lo", "r_hi"), ["v", "slot"], "left")
+    brow = brow.join(judged.select("v", "slot", "b_lo", "b_hi", "r_lo", "r_hi", "frozen_b", "frozen_r"), ["v", "slot"], "left")
 
     def level(field: str, e: str, top: int) -> Column:
         c = F.col(field)
         return F.struct(F.lit(field).alias("field"), c.cast("long").alias("value"),
-                        F.when(~c.between(0, top), F.lit("bounds")).when((c < F.col(f"{e}_lo")) | (c > F.col(f"{e}_hi")), F.lit("spike")).alias("reason"))
+                        F.when(~c.between(0, top), F.lit("bounds")).when(c == F.col(f"frozen_{e}"), F.lit("stuck")).when((c < F.col(f"{e}_lo")) | (c > F.col(f"{e}_hi")), F.lit("spike")).alias("reason"))
 
     brow = brow.select("record_id", "v", F.lit("batch_rows").alias("record"), F.array(level("battery", "b", 100), level("range", "r", p.range_max)).alias("f"))
     return rows.unionByName(brow).select("record", "record_id", F.col("v").alias("vehicle_id"), F.explode(F.filter("f", lambda x: x["reason"].isNotNull())).alias("f")).select(

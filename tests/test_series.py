@@ -106,6 +106,18 @@ def test_batch_levels(spark):
     assert flags(spark, r, b) == want
 
 
+def test_batch_levels_without_saved_readings(spark):
+    b = [[100 + i, 1, x[2], x[3], x[4], x[5]] for i, x in enumerate(trip())]
+    b[9][4] += 30
+    b[26][5] -= 70
+    assert flags(spark, [], b) == {("batch_rows", 109, "battery"), ("batch_rows", 126, "range")}
+    still = [[100 + i, 1, x[2], x[3], 71 if 20 <= i < 25 else x[4], 142 if 20 <= i < 25 else x[5]] for i, x in enumerate(trip())]
+    got = flags(spark, [], still)
+    assert {("batch_rows", 100 + i, f) for i in (22, 23, 24) for f in ("battery", "range")} <= got <= {("batch_rows", 100 + i, f) for i in range(20, 25) for f in ("battery", "range")}
+    full = [[100 + i, 1, x[2], x[3], 80 if i % 4 else 60, 160 if i % 4 else 120] for i, x in enumerate(trip())]
+    assert flags(spark, [], full) == set()   # charged to the same level again and again
+
+
 def test_spikes_on_awkward_rows(spark):
     r = trip(20) + [[None, 1, PERIOD_START_MS, 5000, None, None], [200, None, PERIOD_START_MS, 7, None, None], [201, 1, None, 5000, 50, 100], [202, 1, PERIOD_START_MS, None, None, None]]
     r += [r[3]] * 2
