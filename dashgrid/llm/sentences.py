@@ -28,6 +28,7 @@ CLOSE = _QUOTE_END + r")）\]】"
 _END = "。！？｡।॥؟"
 #: What a full stop may follow that ends a sentence though the next word begins at once.
 _WORD_END = r"[\p{L}\p{N})%\]°]"
+_LABEL = r"[\[【［]\d{2,6}[\]】］]"
 _THAI = r"฀-๿"
 
 #: Abbreviations that never end a sentence before a space, then those that do unless it goes on in lower
@@ -78,6 +79,26 @@ def _mask_signs(t: Column, wide: Column) -> Column:
     return F.when(wide, mask(".!?" + _END)).otherwise(mask(".!?"))
 
 
+#: Opening sign, closing sign and all signs of quotations; pairs that share a sign are in different groups.
+_PAIRS = (
+    ((r"(?<![\p{L}\p{N}.!?,;:%)\]])\"(?=[^\s\"])", r"(?<=\S)\"(?![\p{L}\p{N}])", '"'), ("“", "”", "“”"), ("«", "»", "«»"), ("‹", "›", "‹›"), ("「", "」", "「」"), ("『", "』", "『』")),
+    (("„", "[“”]", "„“”"),),
+    ((r"(?<![\p{L}\p{N}])‘(?=\S)", r"’(?!\p{L})", "‘"),),  # the closing sign may be an apostrophe
+)
+
+
+def _mask_quoted(t: Column, pairs: Sequence[tuple[str, str, str]]) -> Column:
+    """All marks between the opening and the closing sign of a quotation in a paragraph, but those right before the closing one."""
+    marks, line = ".!?" + _END, rf"\n(?![ \t\r]*\n|[ \t]*{_LABEL})"
+    run = lambda no: rf"[^{no}\n]*+(?:{line}[^{no}\n]*+)*+"
+    alts = []
+    for opening, closing, signs in pairs:
+        inside = run(signs) if signs != "‘" else rf"(?:{run('‘’')}(?!{closing})’)*+{run('‘’')}"
+        # from the opening sign, or on from the last mark of the same quotation
+        alts.append(rf"((?:{opening}|\G(?!^)){run(signs + marks)})[{marks}](?![{marks}]*[ \xa0]?{closing})(?={inside}{closing})")
+    return F.regexp_replace(t, "|".join(alts), "".join(f"${i + 1}" for i in range(len(alts))) + MASK)
+
+
 def _mask_stutter(t: Column) -> Column:
     """The mark of a last word that machine translation gave twice, mark and all."""
     return F.regexp_replace(t, r"(?<=\s)(?=(\S{1,25}+(?: [.!?])?+)(?<=[.!?])[ \xa0]\1(?:\s|$))(\S* ?)[.!?]", "$2" + MASK)
@@ -86,7 +107,6 @@ def _mask_stutter(t: Column) -> Column:
 _CLAIM = (rf"(?:\(\d{{1,3}}\)|（\d{{1,3}}）|\d{{1,3}}[.{MASK})．](?!\d)|\d{{1,3}}{_S}?[–—](?!\d)"
           rf"|[【\[]?(?:請求項|权利要求|權利要求|Claim|Anspruch){_S}?\d{{1,3}}[】\]]?[.:)：]?)")
 _CLAIM = rf"(?:{_CLAIM}{_S}?){{1,2}}"  # its number may be given twice
-_LABEL = r"[\[【［]\d{2,6}[\]】］]"
 
 
 def _hard_cuts(t: Column) -> Column:
@@ -136,7 +156,10 @@ def sentence_units(df: DataFrame, text: str, keep: Sequence[str], with_text: boo
     clean = F.when(F.col("_t").contains(CUT) | F.col("_t").contains(MASK), F.translate("_t", CUT + MASK, "��")).otherwise(F.col("_t"))
     has = lambda signs: F.lit(False) if not signs else F.col("_t").contains(signs[0]) | has(signs[1:])
     d = d.withColumns({"_wide": has(_END), "_thai": has("านร")})
-    d = d.withColumn("_m", _mask_signs(_mask_stops(_mask_stutter(clean)), F.col("_wide")))
+    d = d.withColumn("_m", _mask_stops(_mask_stutter(clean)))
+    for pairs in _PAIRS:
+        d = d.withColumn("_m", F.when(has("".join(signs[0] for *_, signs in pairs)), _mask_quoted(F.col("_m"), pairs)).otherwise(F.col("_m")))
+    d = d.withColumn("_m", _mask_signs(F.col("_m"), F.col("_wide")))
     # lines are wrapped where paragraphs stand apart by blank lines
     d = d.withColumn("_w", F.col("_m").rlike(r"\n[ \t\r]*\n"))
     d = d.withColumn("_h", F.split(_hard_cuts(F.col("_m")), CUT))

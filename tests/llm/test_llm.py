@@ -193,6 +193,22 @@ def test_sentences_without_spaces(spark, lang):
     assert cut(spark, "".join(WIDE[lang])) == WIDE[lang]
 
 
+@pytest.mark.parametrize("units", [
+    ["It shows \"Warning! Do not open the housing while the motor runs.\" until it stops.", "Then it is safe."],
+    ["It says “One. Two of them are open? Three more of the doors remain open.”", "“Stop.”", "It stops."],
+    ["Er zeigt „Achtung! Das Gehäuse nie bei laufendem Motor öffnen. Warten.“ und hält.", "Danach ruht er."],
+    ["Elle affiche «Attention ! Ne pas ouvrir le boîtier pendant la marche. Attendre.» avant l'arrêt.", "Puis rien."],
+    ["A 5\" pipe is used.", "Another \"long\" pipe is not.", "An open \"quotation here.", "It \"ends\" never."],
+])
+def test_long_quotations(spark, units):
+    assert cut(spark, " ".join(units)) == units
+
+
+def test_wide_quotations(spark):
+    units = ["表示部は「警告！運転中は開けるな。停止を待て。」と示す。", "次に停止する。", "屏幕显示“注意！请勿在电机运转时打开外壳。请等待。”，随后停止。", "结束。"]
+    assert cut(spark, "".join(units)) == units
+
+
 def test_thai_clauses(spark):
     want = ["ช่องว่างมีค่า 26.7 มม. ถึง 6.23 มม.", "ดังแสดงในรูปที่ 163 หน่วยความจำล้อมรอบสามด้าน", "อาจละแผ่นนำแสงได้ (ดูรูปที่ 9)", "หน้าจอแสดง \"พร้อม\" ก่อนที่หัวอ่านจะหยุด"]
     assert cut(spark, " ".join(want)) == want
