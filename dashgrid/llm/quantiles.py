@@ -8,6 +8,7 @@ percentiles are exact. Sketches of partitions, days or separate sets of rows mer
 
 Scale: every task folds its rows into one small sketch per group before the shuffle, so a group with a
 third of all rows costs each task one sketch; a task that meets very many groups hands on early what it has.
+Behind the shuffle the sketches are sorted by group, so each group gives one row however many there are.
 
 Defined results: null values are left out, and so is NaN; negative and zero values count; a null group
 column is a group of its own; repeated rows count each; an empty table gives no rows.
@@ -106,18 +107,23 @@ class Sketch:
         return s
 
 
-def _fold(groups: list[str], metrics: list[str], k: int, ready: bool):
-    """Rows (or, ready, sketches) into one sketch per group and metric of the task."""
+def _fold(groups: list[str], metrics: list[str], k: int, ready: bool, last: bool = False):
+    """Rows (or, ready, sketches) into one sketch per group and metric of the task.
+
+    A task may hand on a group's sketch early and begin it anew, but not in the last fold: that one gets
+    its sketches sorted by group and metric, and hands on only those of groups that are over.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, Sketch] = {}
+        over: dict[tuple, Sketch] = {} if last else held
 
         def flush() -> pa.RecordBatch:
-            keys = [*held]
+            keys = [*over]
             cols = [pa.array([x[i] for x in keys], type=types[i]) for i in range(len(groups))]
-            out = pa.RecordBatch.from_arrays([*cols, pa.array([x[-1] for x in keys], pa.string()), pa.array([s.to_bytes() for s in held.values()], pa.binary())],
+            out = pa.RecordBatch.from_arrays([*cols, pa.array([x[-1] for x in keys], pa.string()), pa.array([s.to_bytes() for s in over.values()], pa.binary())],
                                              names=[*groups, "metric", "sketch"])
-            held.clear()
+            over.clear()
             return out
 
         types: list[pa.DataType] = []
@@ -128,6 +134,9 @@ def _fold(groups: list[str], metrics: list[str], k: int, ready: bool):
                 for *key, metric, raw in zip(*(t[c].to_pylist() for c in [*groups, "metric", "sketch"])):
                     new = Sketch.from_bytes(raw)
                     if (old := held.get(x := (*key, metric))) is None:
+                        if last:
+                            over.update(held)
+                            held.clear()
                         held[x] = new
                     else:
                         old.merge(new)
@@ -147,9 +156,11 @@ def _fold(groups: list[str], metrics: list[str], k: int, ready: bool):
                     starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else []
                     for a, z in zip(starts, [*starts[1:], len(c)]):
                         held.setdefault((*names[c[a]], m), Sketch(k)).add(v[a:z])
-            if sum(s.size() for s in held.values()) > FLUSH_ITEMS:
+            if sum(s.size() for s in over.values()) > FLUSH_ITEMS:
                 yield flush()
-        if held:
+        if last:
+            over.update(held)
+        if over:
             yield flush()
 
     return run
@@ -165,10 +176,9 @@ def sketch_groups(df: DataFrame, groups: Sequence[str], metrics: Sequence[str],
 def merge_sketches(sketches: DataFrame, groups: Sequence[str], folded: bool = False) -> DataFrame:
     """Sketches of any sets of rows into those of the whole, per ``groups`` and metric."""
     s = sketches.select(*groups, "metric", "sketch")
-    fold = _fold([*groups], [], 0, True)
     if not folded:  # fold within each task before anything is shuffled
-        s = s.mapInArrow(fold, s.schema)
-    return s.repartition(*groups, "metric").mapInArrow(fold, s.schema)
+        s = s.mapInArrow(_fold([*groups], [], 0, True), s.schema)
+    return s.repartition(*groups, "metric").sortWithinPartitions(*groups, "metric").mapInArrow(_fold([*groups], [], 0, True, last=True), s.schema)
 
 
 def read_sketches(sketches: DataFrame, qs: dict[str, float]) -> DataFrame:

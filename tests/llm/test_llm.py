@@ -49,6 +49,22 @@ def test_sketch_is_exact_when_small(spark):
     assert quantiles.sketch_groups(d.where("ms > 99"), ["mode"], ["ms"]).count() == 0
 
 
+def test_each_group_gives_one_row_beyond_the_flush(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "FLUSH_ITEMS", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        d = spark.range(4000).selectExpr("id % 40 AS g", "CASE WHEN id % 3 > 0 THEN id % 2 END AS h", "id AS ms").repartition(8)
+        s = quantiles.sketch_groups(d, ["g", "h"], ["ms"])
+        got = {(r.g, r.h): (r.n, r.top) for r in quantiles.read_sketches(s, {"top": 1.0}).collect()}
+        whole = [(r.h, r.n) for r in quantiles.read_sketches(quantiles.merge_sketches(s, ["h"]), {"top": 1.0}).collect()]
+        assert s.count() == len(got)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(r.g, r.h): (r.n, float(r.top)) for r in d.groupBy("g", "h").agg(F.count("ms").alias("n"), F.max("ms").alias("top")).collect()}
+    assert got == want
+    assert sorted(whole, key=str) == sorted(((r.h, r.n) for r in d.groupBy("h").agg(F.count("ms").alias("n")).collect()), key=str)
+
+
 # survivors
 
 def canonical(spark, h):
