@@ -6,6 +6,8 @@ order), pixel grids and class scores from embeddings, by rules both engines eval
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,7 +136,7 @@ def _text(g: np.ndarray) -> str:
 
 def _glare(g: np.ndarray):
     r = G.inpaint_glare(np.where(g > 180, 255, g), least=0.01)
-    return None if r is None else (_text(r[0][::4, ::4]), r[1], r[2])
+    return None if r is None else (_text(r[0]), r[1], r[2])
 
 
 def _display(g: np.ndarray):
@@ -144,7 +146,7 @@ def _display(g: np.ndarray):
 
 def _boxes(g: np.ndarray):
     got = D.text_boxes(G.box_blur(g, 2) / 255.0, threshold=0.5, least=0.5)
-    return len(got), max((s for _, s in got), default=None)
+    return len(got), max((s for _, s in got), default=None), json.dumps([[np.asarray(q).tolist(), float(s)] for q, s in got])
 
 
 def _warp(g: np.ndarray):
@@ -179,13 +181,13 @@ QUERIES = {
     "morph_close": _grid_query("mask string", lambda g: (_text(G.morph_close(g > 140, 1)),)),
     "laplacian_variance": laplacian_variance,
     "connected_components": _grid_query("components int,median_height int", lambda g: (G.label4(g > 127)[1], G.median_component_height(g > 127))),
-    "clahe": _grid_query("equalised string", lambda g: (_text(G.clahe(g)[::4, ::4]),), 4),
+    "clahe": _grid_query("equalised string", lambda g: (_text(G.clahe(g)),), 4),
     "illumination_flatten": _grid_query("flat string", lambda g: (_text(G.flatten_illumination(g)),)),
-    "preprocess_variants": _grid_query("clahe string,closed string,adaptive string", lambda g: tuple(_text(G.preprocess(g, v)[::8, ::8]) for v in ("CLAHE_STRETCH", "MORPH_CLOSE_BIN", "ILLUM_FLAT_ADAPTIVE")), 4),
+    "preprocess_variants": _grid_query("clahe string,closed string,adaptive string", lambda g: tuple(_text(G.preprocess(g, v)) for v in ("CLAHE_STRETCH", "MORPH_CLOSE_BIN", "ILLUM_FLAT_ADAPTIVE")), 4),
     "glare_inpaint": _grid_query("filled string,regions int,covered double", _glare, 4),
     "bright_region": _grid_query("x0 int,y0 int,x1 int,y1 int,corners string", _display, 4),
     "perspective_warp": _grid_query("warped string", _warp, 2),
-    "db_boxes": _grid_query("boxes int,best double", _boxes, 4),
+    "db_boxes": _grid_query("boxes int,best double,found string", _boxes, 4),
     "segment_digits": _grid_query("digits string,confidence double", D.read_segments, 4),
 }
 

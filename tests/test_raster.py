@@ -146,3 +146,19 @@ def test_grids_in_a_frame(spark):
     d = spark.createDataFrame([(1, [0, 0, 9, 9], 2, 2), (2, None, 2, 2), (3, [1], 2, 2), (4, [], 0, 0)], "id int, lum array<int>, w int, h int")
     out = G.on_grids(d, "lum", "w", "h", ["id"], StructType([StructField("t", IntegerType())]), lambda g: (G.otsu(g),))
     assert {r.id: r.t for r in out.collect()} == {1: 0, 2: None, 3: None, 4: None}
+
+
+def test_grid_queries_give_whole_grids_and_all_boxes(spark):
+    import json
+
+    from dashgrid.functions import raster
+    from dashgrid.plans.recognition import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    assert all(len(r.equalised.split(",")) == 32 * 32 for r in QUERIES["clahe"](spark, d).limit(5).collect())
+    assert all(len(r.filled.split(",")) == 32 * 32 for r in QUERIES["glare_inpaint"](spark, d).where("filled is not null").limit(5).collect())
+    size = raster.preprocess(np.zeros((32, 32), dtype=np.int64), "CLAHE_STRETCH").size
+    assert all(len(x.split(",")) == size for r in QUERIES["preprocess_variants"](spark, d).limit(3).collect() for x in (r.clahe, r.closed, r.adaptive))
+    for r in QUERIES["db_boxes"](spark, d).limit(20).collect():
+        found = json.loads(r.found)
+        assert len(found) == r.boxes and max((s for _, s in found), default=None) == r.best
