@@ -85,6 +85,33 @@ def test_dense_slots_with_spikes_at_their_extremes(spark):
     assert flags(spark, r) == spikes
 
 
+def test_dense_source_with_spread_spikes(spark):
+    rng, r, spikes = random.Random(11), [], set()
+    for slot in range(40):   # 60 records in each five-minute slot, one in twenty of them far off
+        for k in range(60):
+            bad = rng.random() < 0.05
+            r.append([60 * slot + k, 1, PERIOD_START_MS + 300_000 * slot + 4000 * k, 5000 + slot // 4 + (rng.choice((-1, 1)) * rng.randrange(400, 4000) if bad else 0), None, None])
+            spikes |= {("readings", 60 * slot + k, "odoKm")} if bad else set()
+    assert flags(spark, r) == spikes
+
+
+def test_shards_agree_with_whole_sources(spark):
+    rng, r = random.Random(4), [[i, v, x[2], x[3], x[4], x[5]] for v in (1, 2) for i, x in enumerate(trip(600, v), 1000 * v)]
+    for x in rng.sample(r, 60):
+        x[3] += rng.choice((-1, 1)) * rng.randrange(300, 900)
+    for i in range(300, 330):
+        r[i][3] = r[299][3]      # goes on for longer than a shard is
+    b = [[5000 + i, x[1], x[2], x[3], x[4] if i % 9 else 5, x[5]] for i, x in enumerate(r) if i % 3 == 0]
+    assert flags(spark, r, b, shard_slots=40, halo_slots=60) == flags(spark, r, b)
+
+
+def test_rows_without_source_or_clock_join_nothing(spark):
+    r = [[i, None if i % 2 else 1, PERIOD_START_MS if i % 2 else 5, 5000, None, None] for i in range(4000)] + [[9000, 1, PERIOD_START_MS, 5000, None, None]]
+    assert flags(spark, r) == {("readings", i, "timestamp") for i in range(0, 4000, 2)}
+    plan = find_spikes(readings(spark, r), batch(spark, []))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan
+
+
 def test_stuck_value_beside_the_moved_on_one(spark):
     r = [[i, 1, x[2], x[3], None, None] for i, x in enumerate(trip(40))]
     r += [[100 + i, 1, r[i][2] + 1000, r[5][3], None, None] for i in range(5, 13)]   # a second display, frozen at slot 5
@@ -102,8 +129,10 @@ def test_batch_levels(spark):
     for i in range(41, 46):
         b[i][4] = b[40][4]
     want = {("batch_rows", 110, "battery"), ("batch_rows", 112, "range"), ("batch_rows", 114, "battery"), ("batch_rows", 300, "battery")}
-    want |= {("batch_rows", 100 + i, "battery") for i in range(41, 46) if abs(b[i][4] - r[i][4]) > 10}
+    want |= {("batch_rows", 100 + i, "battery") for i in range(41, 46) if abs(b[i][4] - r[i][4]) >= 10}
     assert flags(spark, r, b) == want
+    reasons = {(x.record_id, x.field): x.reason for x in find_spikes(readings(spark, r), batch(spark, b)).collect()}
+    assert reasons[112, "range"] == "spike" and {reasons[i, f] for i, f in reasons if i > 140 and i < 150} == {"stuck"}
 
 
 def test_batch_levels_without_saved_readings(spark):
