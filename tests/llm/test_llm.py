@@ -3,6 +3,7 @@
 import base64
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -225,6 +226,21 @@ def test_wide_quotations(spark):
     assert cut(spark, "".join(units)) == units
 
 
+@pytest.mark.parametrize("stop, word", [("۔", "یہ خشک ہے"), ("።", "ደረቅ ነው"), ("။", "ခြောက်သွေ့သည်"), ("។", "វាស្ងួត"), ("։", "Այն չոր է"), ("།", "སྐམ་པོ་རེད")])
+def test_terminators_of_other_scripts(spark, stop, word):
+    units = [f"{word}{stop}", f"{word} {word}{stop}", f"{word} 3.5{stop}"]
+    assert cut(spark, " ".join(units)) == units
+
+
+def test_very_long_documents(spark):
+    units = ["The pin, i.e. \"HOLD. STOP.\", is read at 3.5 mm no. 7.", "Is it dry?", "「警告！待て。」と示す。"]
+    text = " ".join(units * 60_000)   # over 5 MB
+    d = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    took = time.time()
+    rows = sentences.sentence_units(d, "text", ["doc_id"], with_text=True).groupBy("sentence").count().collect()
+    assert {r.sentence: r["count"] for r in rows} == dict.fromkeys(units, 60_000) and time.time() - took < 30
+
+
 def test_thai_clauses(spark):
     want = ["ช่องว่างมีค่า 26.7 มม. ถึง 6.23 มม.", "ดังแสดงในรูปที่ 163 หน่วยความจำล้อมรอบสามด้าน", "อาจละแผ่นนำแสงได้ (ดูรูปที่ 9)", "หน้าจอแสดง \"พร้อม\" ก่อนที่หัวอ่านจะหยุด"]
     assert cut(spark, " ".join(want)) == want
