@@ -17,6 +17,7 @@ added, the least cap); null caps are no caps; repeated documents are separate; t
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,20 +29,32 @@ SEED = 20250101
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the session's spark.checkpoint.dir; sets a folder of its own only where none is named (as in tests)."""
+    """Uses the session's spark.checkpoint.dir; a temporary folder only in a session of one machine that names none."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
 def fold_source(c: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(F.trim(c)), r"[\s-]+", "_"), F.lit(""))
 
 
-def quality(text: Column, translated: Column) -> Column:
-    """A document's weight within its source: damaged, very short and translated texts are drawn less often."""
-    return (F.when(text.contains("�") | text.contains("Ã"), 0.5).otherwise(1.0) * F.when(F.length(text) < 200, 0.5).otherwise(1.0)
-            * F.when(translated.isNotNull(), 0.5).otherwise(1.0))
+def with_quality(docs: DataFrame, language: str = "lang", n_bytes: str = "n_bytes", n_tokens: str = "n_tokens") -> DataFrame:
+    """Adds each document's weight within its source, ``quality`` in (0, 1]: how usual its tokens are for its language.
+
+    A vocabulary spends more tokens on a byte of damaged, garbled or foreign text, and fewer on repeated signs, than is
+    usual in the text's language. With z as the distance of log(bytes per token) from the language's mean, in standard
+    deviations over all its documents, the weight is 1 / (1 + z**2). Languages are told by the first two letters of their
+    code; unknown ones are measured together. The means come from one pass, one row per language.
+    """
+    code = F.coalesce(F.substring(F.lower(F.trim(F.col(language))), 1, 2), F.lit(""))
+    d = docs.withColumns({"_lang": code, "_x": F.log(F.col(n_bytes) / F.col(n_tokens))})
+    usual = d.groupBy("_lang").agg(F.avg("_x").alias("_mean"), F.stddev_pop("_x").alias("_dev"))
+    z = F.coalesce((F.col("_x") - F.col("_mean")) / F.nullif("_dev", F.lit(0.0)), F.lit(0.0))
+    return d.join(usual, "_lang").withColumn("quality", 1 / (1 + z * z)).drop("_lang", "_x", "_mean", "_dev")
 
 
 def plan_mixes(docs: DataFrame, targets: DataFrame, budget: float | None = None) -> DataFrame:

@@ -35,7 +35,11 @@ def exact_up_to(k: int = DEFAULT_K) -> int:
 
 
 def rank_error(k: int = DEFAULT_K, sigmas: float = 3.0) -> float:
-    """Bound of |estimated - true rank| / (number of values at or above it), at so many standard deviations."""
+    """Bound of |estimated - true rank| / (number of values at or above it), at so many standard deviations.
+
+    The constant is empirical for this schedule of sections: merges of thousands of equal, identical, sorted and
+    reversed parts stay under half of the bound at three deviations (tests hold single and merged sketches to it).
+    """
     return sigmas * (0.0512 / SECTIONS) ** 0.5 / k
 
 

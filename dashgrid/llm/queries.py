@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import PERIOD_END_MS, PERIOD_START_MS, table
 from .bpe import encode_corpus
-from .mixing import draw_mixes, ensure_checkpoint_dir, fold_source, mix_report, plan_mixes, quality
+from .mixing import draw_mixes, ensure_checkpoint_dir, fold_source, mix_report, plan_mixes, with_quality
 from .quantiles import merge_sketches, rank_error, read_sketches, sketch_groups
 from .sentences import sentence_units
 from .survivor import survivor_sources, survivors, with_canonical_sha256
@@ -56,11 +56,11 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that can be drawn, with their tokens and weights; checkpointed, as counting tokens is the costly part."""
-    docs = _documents(spark, d, "doc_id", "source", "text", "translated_from").select("doc_id", fold_source(F.col("source")).alias("source"), "text", quality(F.col("text"), F.col("translated_from")).alias("quality"))
-    sized = encode_corpus(docs.where("source is not null"), "text", ["doc_id", "source", "quality"], ids=False).where("n_tokens > 0")
+    """Documents that can be drawn, with their tokens and weights; the counts are checkpointed, as they are the costly part."""
+    docs = _documents(spark, d, "doc_id", "source", "lang", "text").select("doc_id", fold_source(F.col("source")).alias("source"), "lang", F.octet_length("text").alias("n_bytes"), "text")
+    sized = encode_corpus(docs.where("source is not null"), "text", ["doc_id", "source", "lang", "n_bytes"], ids=False).where("n_tokens > 0")
     ensure_checkpoint_dir(spark)
-    return sized.checkpoint()
+    return with_quality(sized.checkpoint()).select("doc_id", "source", "n_tokens", "quality")
 
 
 def p7_mixes(spark: SparkSession, d: str) -> DataFrame:

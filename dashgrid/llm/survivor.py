@@ -1,8 +1,9 @@
 """Best representative of each duplicate group: field-by-field survivorship in a single aggregation.
 
 Per field the maximum of a composite struct (trust, time, id, value) over the members that have the
-field is the survivor, so one hash aggregation with map-side combining settles all fields at once and a
-group of any size, however hot, shrinks to one row per map task before the shuffle.
+field is the survivor, so one aggregation with map-side combining settles all fields at once and a
+group of any size, however hot, shrinks to one row per map task before the shuffle. As Spark keeps no struct
+in a hash aggregation's buffer, both sides of the shuffle sort by the key first.
 
 Defined results: null or unusable keys make no group; a group needs two different ids (a row delivered
 twice is one record); a null trust flag counts as false; a null or out-of-period time counts as oldest;

@@ -177,6 +177,13 @@ def test_drawing_is_by_keys(spark):
     assert mixing.draw_mixes(docs.where("doc_id < 0"), t).count() == 0 and mixing.draw_mixes(docs, t.where("mix = 'x'")).count() == 0
 
 
+def test_quality_is_measured(spark):
+    rows = [(i, "EN-us" if i % 2 else "en", 400 + i % 7, 100) for i in range(200)] + [(900, "en", 400, 300), (901, "en", 4000, 100)] + [(1000 + i, None, 300, 90 + i % 5) for i in range(50)]
+    q = {r.doc_id: r.quality for r in mixing.with_quality(spark.createDataFrame(rows, "doc_id int, lang string, n_bytes int, n_tokens int")).collect()}
+    assert len(q) == len(rows) and min(q[i] for i in range(200)) > 0.9 and q[900] < 0.1 and q[901] < 0.1 and q[1000] > 0.2
+    assert mixing.with_quality(spark.createDataFrame([(1, "en", 4, 1)], "doc_id int, lang string, n_bytes int, n_tokens int")).first().quality == 1.0
+
+
 # sentences
 
 CASES = {
