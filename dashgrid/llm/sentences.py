@@ -107,8 +107,8 @@ STUTTER_CHARS = 64
 
 def _mask_stutter(t: Column) -> Column:
     """The mark of a last word that machine translation gave twice, mark and all."""
-    word = rf"\S{{1,{STUTTER_CHARS}}}"
-    return F.regexp_replace(t, rf"[.!?](?=[ \xa0])(?<=\s({word}|{word} [.!?]))(?=[ \xa0]\1(?:\s|$))", MASK)
+    word = rf"\S{{0,{STUTTER_CHARS - 1}}}[^\s.!?] ?[.!?]{{1,3}}"
+    return F.regexp_replace(t, rf"[.!?](?=[ \xa0])(?<=\s({word}))(?=[ \xa0]\1(?:\s|$))", MASK)
 
 
 _CLAIM = (rf"(?:\(\d{{1,3}}\)|（\d{{1,3}}）|\d{{1,3}}[.{MASK})．](?!\d)|\d{{1,3}}{_S}?[–—](?!\d)"
@@ -121,7 +121,7 @@ def _hard_cuts(t: Column) -> Column:
     back = r"[ \t\r]{0,3}\n"
     claim = (rf"(?=[ \t]*{_CLAIM}{_S}?[\p{{L}}|])(?:(?<=[.!?{_END}…;；:：{CLOSE}{_THAI}]{back})|(?<![\p{{Ll}},{MASK}]{back})(?=[ \t]*{_CLAIM}{_S}?[\p{{Lu}}\p{{Lo}}])"
              rf"|(?<=\p{{L}}{back})(?=[ \t]*\(?1[.{MASK})–—]?\)?{_S}?[–—]?{_S}?[\p{{Lu}}\p{{Lo}}]))")
-    return F.regexp_replace(t, rf"\n(?:[ \t\r]*\n)+|\n(?:(?=[ \t]*{_LABEL})|{claim})", "$0" + CUT)
+    return F.regexp_replace(t, rf"\n(?:(?:[ \t\r]*\n)+|(?=[ \t]*{_LABEL})|{claim})", "$0" + CUT)
 
 
 def _soft_cuts(t: Column, wrapped: Column, wide: Column, rare: Column, thai: Column) -> Column:
@@ -175,8 +175,10 @@ def sentence_units(df: DataFrame, text: str, keep: Sequence[str], with_text: boo
     d = d.withColumn("_p", F.flatten(F.transform("_h", lambda p: F.when(p.rlike(claim), F.array(p)).otherwise(F.split(_soft_cuts(p, F.col("_w"), F.col("_wide"), F.col("_rare"), F.col("_thai")), CUT)))))
     d = d.withColumn("_n", F.transform("_p", lambda p: F.length(p)))
     d = d.withColumn("_a", _starts(F.col("_n")))
-    start = lambda p, a: a + F.length(p) - F.length(F.ltrim(p, F.lit(BLANK)))
-    units = F.zip_with("_p", "_a", lambda p, a: F.struct(start(p, a).alias("start_char"), (a + F.length(F.rtrim(p, F.lit(BLANK)))).alias("end_char")))
+    start = lambda p, n, a: a + n - F.length(F.ltrim(p, F.lit(BLANK)))
+    # trimming at the right takes a look at the whole piece, so only pieces that end in a blank are trimmed
+    end = lambda p, n, a: a + F.when(F.lit(BLANK).contains(F.right(p, F.lit(1))), F.length(F.rtrim(p, F.lit(BLANK)))).otherwise(n)
+    units = F.transform("_p", lambda p, i: F.struct(start(p, F.get("_n", i), F.get("_a", i)).alias("start_char"), end(p, F.get("_n", i), F.get("_a", i)).alias("end_char")))
     units = F.filter(units, lambda u: u["start_char"] < u["end_char"])
     if with_text:
         d = d.select(*keep, "_t", units.alias("_u"))
