@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,17 +12,30 @@ from pyspark.sql import functions as F
 DIGIT_TO_LETTER = ("012568", "OIZSGB")
 LETTER_TO_DIGIT = ("OQDILZSGB", "000112568")
 
-_WORD_SPACE = r"^\s+|\s+$"
+#: White space as trimmed from both ends: Unicode's, with the information separators.
+BLANK = r"[\t-\r\x1c-\x20\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_EDGES = f"^{BLANK}+|{BLANK}+$"
+
+#: The forms of numbers and of lines that hold nothing but a value.
+PERCENT = r"([0-9]{1,3})\s*%"
+UP_TO_THREE = r"\b([0-9]{1,3})\b"
+UP_TO_SIX = r"\b([0-9]{1,6})(?:\.[0-9]+)?\b"
+BARE_PERCENT = r"^[0-9]{1,3}\s*%$"
+BARE_ODO = r"^[0-9O][0-9O.,]{0,7}\s*[KLI][A-Z]{0,2}$"
+
+
+def trim(c: Column) -> Column:
+    return F.regexp_replace(c, _EDGES, "")
 
 
 def normalise_line(c: Column) -> Column:
     """Upper case, without surrounding white space."""
-    return F.regexp_replace(F.upper(c), _WORD_SPACE, "")
+    return trim(F.upper(c))
 
 
 def normalise_name(c: Column) -> Column:
     """File name behind the last slash, lower case, trimmed."""
-    return F.regexp_replace(F.lower(F.substring_index(c, "/", -1)), _WORD_SPACE, "")
+    return trim(F.lower(F.substring_index(c, "/", -1)))
 
 
 def tokens(c: Column) -> Column:
@@ -46,24 +60,15 @@ def token_matches(token: Column, label: str) -> Column:
     return near & (F.length(token) >= len(label)) if len(label) <= 4 else near
 
 
-def line_matches(c: Column, labels: Sequence[str]) -> Column:
-    """Whether a line holds one of the labels, or a token that is one up to misread letters."""
-    exact = F.lit(False)
-    for label in labels:
-        exact = exact | c.contains(label)
-
-    def fuzzy(t: Column) -> Column:
-        any_ = F.lit(False)
-        for label in labels:
-            any_ = any_ | token_matches(t, label)
-        return any_
-
-    return exact | F.exists(tokens(c), fuzzy)
+def line_matches(c: Column, labels: Sequence[str], words: Column | None = None) -> Column:
+    """Whether a line holds one of the labels, or a token (of ``words``, if they are known) that is one up to misread letters."""
+    any_of = lambda test: reduce(Column.__or__, map(test, labels))
+    return any_of(c.contains) | F.exists(tokens(c) if words is None else words, lambda t: any_of(lambda label: token_matches(t, label)))
 
 
 def strict_int(c: Column) -> Column:
     """An integer with an optional sign and nothing else, null if it isn't one or is out of range."""
-    t = F.regexp_replace(c, _WORD_SPACE, "")
+    t = trim(c)
     return F.when(t.rlike("^[+-]?[0-9]+$"), t.try_cast("int"))
 
 
@@ -71,32 +76,31 @@ def _first(c: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
 
 
-def battery_value(c: Column) -> Column:
+def battery_value(c: Column, repaired: bool = False) -> Column:
     """The first number before a percent sign, else the first number of up to three digits; only 0 to 100."""
-    t = repair_digits(c)
-    v = F.coalesce(_first(t, r"([0-9]{1,3})\s*%"), _first(t, r"\b([0-9]{1,3})\b")).cast("int")
+    t = c if repaired else repair_digits(c)
+    v = F.coalesce(_first(t, PERCENT), _first(t, UP_TO_THREE)).cast("int")
     return F.when(v.between(0, 100), v)
 
 
-def range_value(c: Column) -> Column:
-    t = F.replace(repair_digits(c), F.lit("KM"), F.lit(" "))
-    return _first(t, r"\b([0-9]{1,3})\b").cast("int")
+def range_value(c: Column, repaired: bool = False) -> Column:
+    t = F.replace(c if repaired else repair_digits(c), F.lit("KM"), F.lit(" "))
+    return _first(t, UP_TO_THREE).cast("int")
 
 
-def odo_value(c: Column) -> Column:
+def odo_value(c: Column, repaired: bool = False) -> Column:
     """The first number of up to six digits, integer part; groups of digits are joined."""
-    t = F.replace(F.replace(repair_digits(c), F.lit(","), F.lit("")), F.lit("KM"), F.lit(" "))
-    t = F.regexp_replace(t, _WORD_SPACE, "")
+    t = trim(F.replace(F.replace(c if repaired else repair_digits(c), F.lit(","), F.lit("")), F.lit("KM"), F.lit(" ")))
     t = F.when(t.rlike(r"^[0-9 .]+$"), F.replace(t, F.lit(" "), F.lit(""))).otherwise(t)
-    return _first(t, r"\b([0-9]{1,6})(?:\.[0-9]+)?\b").cast("int")
+    return _first(t, UP_TO_SIX).cast("int")
 
 
 def is_bare_percent(c: Column) -> Column:
-    return c.rlike(r"^[0-9]{1,3}\s*%$")
+    return c.rlike(BARE_PERCENT)
 
 
 def is_bare_odo(c: Column) -> Column:
-    return c.rlike(r"^[0-9O][0-9O.,]{0,7}\s*[KLI][A-Z]{0,2}$")
+    return c.rlike(BARE_ODO)
 
 
 def normalise_separators(c: Column) -> Column:

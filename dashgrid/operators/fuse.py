@@ -59,12 +59,30 @@ def newly_filled(before: dict[str, Column], after: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*(F.when(before[f].isNull() & after[f].isNotNull(), F.lit(f)) for f in FIELDS)))
 
 
-def fill_empty(first: Column, second: Column, name: str) -> Column:
-    """The first pass's struct<odo,battery,range,lines,notes>, completed from the second; lines keep a separator between passes."""
-    gained = F.array_compact(F.array(*(F.when(first[f].isNull() & second[f].isNotNull(), F.concat(F.lit(f"{f}: recovered by {name}"))) for f in FIELDS)))
-    line = F.struct(F.lit("— pass —").alias("text"), *(F.lit(0).alias(x) for x in ("left", "top", "right", "bottom")), F.lit(None).cast("float").alias("confidence"))
-    return F.struct(*(F.coalesce(first[f], second[f]).alias(f) for f in FIELDS), F.concat(first["lines"], F.array(line), second["lines"]).alias("lines"),
-                    F.concat(first["notes"], second["notes"], gained).alias("notes"))
+def separator(name: Column) -> Column:
+    """The pseudo line between the lines of two passes."""
+    return F.struct(F.concat(F.lit("— "), name, F.lit(" —")).alias("text"), *(F.lit(0).alias(x) for x in ("left", "top", "right", "bottom")), F.lit(None).cast("float").alias("confidence"))
+
+
+def joined_lines(first: Column, second: Column, name: Column) -> Column:
+    """Lines of both passes behind each other, with a separator unless the second pass has none."""
+    return F.when(F.coalesce(F.size(second), F.lit(0)) <= 0, first).otherwise(F.concat(first, F.array(separator(name)), second))
+
+
+def recovered(field: str, name: Column) -> Column:
+    return F.concat(F.lit(f"{field}: recovered by "), name)
+
+
+def fill_empty(first: Column, second: Column, name: Column | str) -> Column:
+    """The first pass's struct<odo,battery,range,lines,notes>, completed from the second, named pass.
+
+    Notes: the first pass's, one for each field recovered, then the second pass's under its name.
+    """
+    name = F.lit(name) if isinstance(name, str) else name
+    gained = F.array_compact(F.array(*(F.when(first[f].isNull() & second[f].isNotNull(), recovered(f, name)) for f in FIELDS)))
+    told = F.transform(second["notes"], lambda n: F.concat(name, F.lit(": "), n))
+    return F.struct(*(F.coalesce(first[f], second[f]).alias(f) for f in FIELDS), joined_lines(first["lines"], second["lines"], name).alias("lines"),
+                    F.concat(first["notes"], gained, told).alias("notes"))
 
 
 def ladder(obs: DataFrame, key: list[str], order: str = "rung_no") -> DataFrame:
@@ -87,6 +105,12 @@ def ladder_events(obs: DataFrame, key: list[str], order: str = "rung_no") -> Dat
     return o.withColumns({"produced": produced, "accepted": accepted}).withColumn("discarded", F.array_except("produced", "accepted")).drop(*(f"_{f}" for f in FIELDS))
 
 
+def provenance_json(provenance: Column, engines: Column, notes: Column) -> Column:
+    """Engines, fields and notes as JSON: a field has value, engine, variant, stage, confidence; nulls are written."""
+    bare = F.transform_values(provenance, lambda _, p: F.struct(*(p[c].alias(c) for c in ("value", "engine", "variant", "stage", "confidence"))))
+    return F.to_json(F.struct(engines.alias("engines"), bare.alias("fields"), notes.alias("notes")), {"ignoreNullFields": "false"})
+
+
 def provenance_text(p: Column) -> Column:
     """``value <- engine / variant / stage [CONFIDENCE]``."""
     return F.concat(F.coalesce(p["value"].cast("string"), F.lit("–")), F.lit(" ← "), p["engine"], F.lit(" / "), p["variant"], F.lit(" / "), p["stage"],

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from ..functions import decoders as D, raster as G, spatial as S, text as X
-from ..operators.fuse import line_confidence
-from ..operators.parse import parse_lines
+from ..operators import fuse, ladder as R
+from ..operators.parse import LABELS, OTHER_LABELS, parse_lines
+from ..schemas import FIELDS
 from ..session import table
 
 _TEXTS = {
@@ -55,9 +56,10 @@ def digit_repair(s: SparkSession, d: str) -> DataFrame:
 
 
 def field_value_parsers(s: SparkSession, d: str) -> DataFrame:
-    t = X.normalise_line(F.col("text"))
-    return ocr_lines(s, d).select("case_id", "i", X.battery_value(t).alias("battery"), X.range_value(t).alias("range_"), X.odo_value(t).alias("odo"),
-                                  X.is_bare_percent(t).alias("bare_percent"), X.is_bare_odo(t).alias("bare_odo"))
+    t, r = F.col("t"), F.col("r")  # each line is normalised and repaired once
+    o = ocr_lines(s, d).withColumn("t", X.normalise_line(F.col("text"))).withColumn("r", X.repair_digits(t))
+    return o.select("case_id", "i", X.battery_value(r, True).alias("battery"), X.range_value(r, True).alias("range_"), X.odo_value(r, True).alias("odo"),
+                    X.is_bare_percent(t).alias("bare_percent"), X.is_bare_odo(t).alias("bare_odo"))
 
 
 def separator_normalize(s: SparkSession, d: str) -> DataFrame:
@@ -85,8 +87,38 @@ def dashboard_parse(s: SparkSession, d: str) -> DataFrame:
     return parse_lines(ocr_cases(s, d), "lines").select("case_id", "odo", "battery", "range", F.array_join("notes", "; ").alias("notes"))
 
 
+#: What the k-th case of a photo stands for: rung, engine, variant.
+_PLACES = (("pass1", "mlkit", "ORIGINAL"), ("retry-highres", "paddle", "ORIGINAL"), ("retry-highres", "mlkit", "ORIGINAL"), ("crop", "paddle", "CLAHE_STRETCH"), ("crop", "mlkit", "MORPH_CLOSE_BIN"),
+           ("segment-decode", "7seg", "crop"), ("segment-decode-highres", "7seg", "ORIGINAL"), ("anchor-region", "7seg", "ORIGINAL"))
+
+
+def observations(s: SparkSession, d: str) -> DataFrame:
+    """Every eight successive cases are the observations of one photo, in the order of the ladder."""
+    place = F.get(F.array(*(F.struct(*(F.lit(x).alias(c) for c, x in zip(("rung", "engine", "variant"), p))) for p in _PLACES)), (F.col("case_id") % 8).cast("int"))
+    o = ocr_cases(s, d).select(F.expr("case_id div 8").alias("photo"), (F.col("case_id") % 8).alias("ord"), place.alias("p"), F.transform("lines", lambda x: x.dropFields("i")).alias("lines"))
+    return R.observe(o.select("photo", "ord", "p.*", "lines"), ["photo"])
+
+
+def ladder_run(s: SparkSession, d: str) -> DataFrame:
+    """Values of every photo, the rungs that ran, what they had accepted, and the debug JSON."""
+    r = R.ladder_run(observations(s, d), ["photo"])
+    won = F.array_join(F.transform("rungEvents", lambda e: F.concat_ws(":", e["rung"], e["engine"], e["variant"], F.array_join(e["produced"], "|"), F.array_join(e["accepted"], "|"))), ";")
+    return r.select("photo", *FIELDS, won.alias("events"), F.size("lines").alias("n_lines"), F.size("notes").alias("n_notes"), "debugJson")
+
+
+def ladder_provenance(s: SparkSession, d: str) -> DataFrame:
+    return R.ladder_run(observations(s, d), ["photo"]).select("photo", F.explode("sources").alias("field", "shown"))
+
+
+def fill_empty_merge(s: SparkSession, d: str) -> DataFrame:
+    """The first two observations of every photo that has both, as two passes."""
+    part = lambda k, n: observations(s, d).where(F.col("ord") == k).select("photo", F.struct(*FIELDS, "lines", "notes").alias(n))
+    m = part(0, "a").join(part(1, "b"), "photo").select("photo", fuse.fill_empty(F.col("a"), F.col("b"), "pass2 (high-res)").alias("m"))
+    return m.select("photo", *(f"m.{f}" for f in FIELDS), F.array_join(F.transform("m.lines", lambda x: x["text"]), "|").alias("lines"), F.array_join("m.notes", "; ").alias("notes"))
+
+
 def best_confidence(s: SparkSession, d: str) -> DataFrame:
-    return ocr_cases(s, d).select("case_id", line_confidence(F.lit(47), F.col("lines")).cast("double").alias("confidence"))
+    return ocr_cases(s, d).select("case_id", fuse.line_confidence(F.lit(47), F.col("lines")).cast("double").alias("confidence"))
 
 
 def reading_order(s: SparkSession, d: str) -> DataFrame:
@@ -172,7 +204,7 @@ def laplacian_variance(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "text_normalize": text_normalize, "fuzzy_label_match": fuzzy_label_match, "digit_repair": digit_repair, "field_value_parsers": field_value_parsers, "separator_normalize": separator_normalize,
-    "line_boxes": line_boxes, "nearest_value": nearest_value, "dashboard_parse": dashboard_parse, "line_confidence": best_confidence, "reading_order": reading_order, "csv_cells": csv_cells,
+    "line_boxes": line_boxes, "nearest_value": nearest_value, "dashboard_parse": dashboard_parse, "ladder_run": ladder_run, "ladder_provenance": ladder_provenance, "fill_empty_merge": fill_empty_merge, "line_confidence": best_confidence, "reading_order": reading_order, "csv_cells": csv_cells,
     "quad_metrics": quad_metrics, "ctc_decode": ctc_decode, "sharpness_gate": sharpness_gate,
     "otsu": _grid_query("threshold int", lambda g: (G.otsu(g),)),
     "box_blur": _grid_query("blurred string", lambda g: (_text(G.box_blur(g, 1)),)),
@@ -235,7 +267,86 @@ _AREA = "abs(" + " + ".join(f"x{i} * y{(i + 1) % 4} - x{(i + 1) % 4} * y{i}" for
 _SIDE = lambda i, j: f"sqrt((x{i} - x{j}) * (x{i} - x{j}) + (y{i} - y{j}) * (y{i} - y{j}))"
 _BOX = "(greatest(x0, x1, x2, x3) - least(x0, x1, x2, x3)) * (greatest(y0, y1, y2, y3) - least(y0, y1, y2, y3))"
 
+
+
+def _values_sql(t: str) -> dict[str, str]:
+    """Battery, range and odometer value of a text."""
+    r = f"({_REPAIR.format(t)})"
+    b = f"coalesce({_INT.format(r, _PCT)}, {_INT.format(r, _THREE)})"
+    z = f"regexp_replace(replace(replace({r}, ',', ''), 'KM', ' '), '^\\s+|\\s+$', '', 'g')"
+    z = f"CASE WHEN regexp_matches({z}, '^[0-9 .]+$') THEN replace({z}, ' ', '') ELSE {z} END"
+    return {"battery": f"CASE WHEN {b} BETWEEN 0 AND 100 THEN {b} END", "range": _INT.format(f"replace({r}, 'KM', ' ')", _THREE), "odo": _INT.format(z, "\\b([0-9]{1,6})(?:\\.[0-9]+)?\\b")}
+
+
+_PCT, _THREE = "([0-9]{1,3})\\s*%", "\\b([0-9]{1,3})\\b"
+
+
+def _parse_sql() -> str:
+    """CTEs up to ``parsed`` (case_id, odo, battery, range, notes as a list), field by field as the order of the fields demands."""
+    like = lambda k: f"(abs(length({k}) - 3) <= 1 AND length({k}) >= 3 AND levenshtein(translate({k}, '012568', 'OIZSGB'), 'ODO') <= 1) OR (abs(length({k}) - 5) <= 1 AND levenshtein(translate({k}, '012568', 'OIZSGB'), 'TOTAL') <= 1)"
+    rest = f"array_to_string(list_filter(string_split_regex(t, '\\s+'), lambda w: len(list_filter({_TOKENS.format('w')}, lambda k: {like('k')})) = 0), ' ')"
+    values = _values_sql("t")
+    out = f"""{_LINE_CTE}, q AS (SELECT *, {rest} AS rest FROM o), v AS (SELECT *, (x0 + x1) // 2 AS cx, (y0 + y1) // 2 AS cy, y1 - y0 AS h, {', '.join(f'{x} AS v_{f}' for f, x in values.items())}, {_values_sql('rest')['odo']} AS v_rest,
+ length(t) <= 24 AND {_match_sql(LABELS['battery'])} AS is_battery, length(t) <= 24 AND {_match_sql(LABELS['range'])} AS is_range, length(t) <= 24 AND (contains(t, 'ODO') OR contains(t, 'TOTAL')) AS exact,
+ length(t) <= 24 AND len(list_filter({_TOKENS.format('t')}, lambda k: {like('k')})) > 0 AS tolerant, {_match_sql(OTHER_LABELS)} AS other, regexp_matches(t, '^[0-9]{{1,3}}\\s*%$') AS pct,
+ regexp_matches(t, '^[0-9O][0-9O.,]{{0,7}}\\s*[KLI][A-Z]{{0,2}}$') AS bare FROM q),
+ a0 AS (SELECT case_id, min(i) FILTER (WHERE is_battery) AS a_battery, min(i) FILTER (WHERE is_range) AS a_range, min(i) FILTER (WHERE exact) AS ex, min(i) FILTER (WHERE tolerant) AS tol FROM v GROUP BY 1),
+ a AS (SELECT case_id, a_battery, a_range, coalesce(ex, tol) AS a_odo, ex IS NULL AND tol IS NOT NULL AS misread FROM a0)"""
+    used: list[str] = []
+    free = "x.i IS DISTINCT FROM u.a_battery AND x.i IS DISTINCT FROM u.a_range AND x.i IS DISTINCT FROM u.a_odo"
+    before = "a"
+    for f in ("battery", "range", "odo"):
+        own = "CASE WHEN u.misread THEN l.v_rest ELSE l.v_odo END" if f == "odo" else f"l.v_{f}"
+        text = "CASE WHEN u.misread THEN l.rest ELSE l.t END" if f == "odo" else "l.t"
+        gap, h = "greatest(x.x0 - l.x1, l.x0 - x.x1)", "greatest(l.h, 1)"
+        close = f"x.h <= 5 * {h} AND ((x.cy > l.cy AND x.y0 - l.y1 <= 1.5 * {h} AND ((x.x0 < l.x1 AND x.x1 > l.x0) OR {gap} <= 2 * {h})) OR (x.y0 < l.y1 AND x.y1 > l.y0 AND {gap} <= 3 * {h}))"
+        unused = "".join(f" AND x.i IS DISTINCT FROM u.u_{g}" for g in used)
+        out += f""", n_{f} AS (SELECT u.case_id, arg_min({{'i': x.i, 'v': x.v_{f}, 't': x.t, 'how': CASE WHEN x.cy > l.y1 THEN 'nearest-below' ELSE 'nearest-beside' END}}, {{'d': (l.cx - x.cx) * (l.cx - x.cx) + (l.cy - x.cy) * (l.cy - x.cy), 'i': x.i}}) AS n
+ FROM {before} u JOIN v l ON l.case_id = u.case_id AND l.i = u.a_{f} JOIN v x ON x.case_id = u.case_id WHERE {free}{unused} AND x.v_{f} IS NOT NULL AND {close} GROUP BY 1),
+ p_{f} AS (SELECT u.*, coalesce({own}, n.v) AS p_{f}, CASE WHEN {own} IS NOT NULL THEN u.a_{f} ELSE n.i END AS pu_{f}, CASE WHEN u.a_{f} IS NULL THEN {'NULL' if f == 'odo' else f"'{f}: no anchor found'"}
+  WHEN {own} IS NOT NULL THEN '{f}: taken from merged line "' || {text} || '"' WHEN n.i IS NOT NULL THEN '{f}: ' || n.how || ' match "' || n.t || '"' ELSE '{f}: anchor "' || {text} || '" found but no nearby numeric line' END AS note_{f}
+  FROM (SELECT u.*, n FROM {before} u LEFT JOIN n_{f} ON n_{f}.case_id = u.case_id) u LEFT JOIN v l ON l.case_id = u.case_id AND l.i = u.a_{f})"""
+        if f == "range":
+            out += ", s_range AS (SELECT * EXCLUDE (n), p_range AS range_, pu_range AS u_range FROM p_range)"
+        else:
+            form = "x.pct" if f == "battery" else "x.bare AND NOT EXISTS (SELECT 1 FROM v b WHERE b.case_id = x.case_id AND b.i <> x.i AND b.other AND x.cy > b.cy AND x.y0 - b.y1 <= 1.5 * b.h)"
+            one = "'battery: no BATTERY label; standalone percentage line \"'" if f == "battery" else "'odo: no label; lone \"value km\" line \"'"
+            many = "'battery: multiple standalone % lines, ambiguous — skipped'" if f == "battery" else "'odo: multiple unlabeled \"value km\" lines, ambiguous — skipped'"
+            out += f""", c_{f} AS (SELECT u.case_id, count(*) AS c, any_value(x.i) AS i, any_value(x.v_{f}) AS v, any_value(x.t) AS t FROM {before} u JOIN v x ON x.case_id = u.case_id WHERE u.a_{f} IS NULL AND {free}{unused} AND {form} GROUP BY 1),
+ s_{f} AS (SELECT p.* EXCLUDE (n), coalesce(p_{f}, CASE WHEN c = 1 THEN c_{f}.v END) AS {f}_, coalesce(pu_{f}, CASE WHEN c = 1 AND c_{f}.v IS NOT NULL THEN c_{f}.i END) AS u_{f},
+  CASE WHEN c > 1 THEN {many} WHEN c = 1 AND c_{f}.v IS NOT NULL THEN {one} || c_{f}.t || '"' END AS lone_{f} FROM p_{f} p LEFT JOIN c_{f} ON c_{f}.case_id = p.case_id)"""
+        used.append(f)
+        before = f"s_{f}"
+    return out + """, parsed AS (SELECT s.case_id AS case_id, odo_ AS odo, battery_ AS battery, range_ AS range, list_filter([CASE WHEN misread THEN 'odo: anchor matched via OCR-tolerant pattern ("' || l.t || '")' END, note_battery, lone_battery, note_range, note_odo,
+ CASE WHEN a_odo IS NULL THEN 'odo: no ODO anchor found — not falling back to largest number (speed trap)' END, lone_odo], lambda x: x IS NOT NULL) AS notes FROM s_odo s LEFT JOIN v l ON l.case_id = s.case_id AND l.i = s.a_odo)"""
+
+
+_PARSE = _parse_sql()
+_PRESENT = "list_filter([" + ", ".join(f"CASE WHEN {f} IS NOT NULL{{}} THEN '{f}' END" for f in FIELDS) + "], lambda x: x IS NOT NULL)"
+_LADDER = f"""{_PARSE}, ob AS (SELECT case_id // 8 AS photo, case_id % 8 AS ord, [{', '.join(f"'{p[0]}'" for p in _PLACES)}][case_id % 8 + 1] AS rung, [{', '.join(f"'{p[1]}'" for p in _PLACES)}][case_id % 8 + 1] AS engine,
+ [{', '.join(f"'{p[2]}'" for p in _PLACES)}][case_id % 8 + 1] AS variant, odo, battery, range, notes FROM parsed),
+ hd AS (SELECT *, row_number() OVER w = 1 AS head, {', '.join(f'count({f}) OVER (PARTITION BY photo ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS h_{f}' for f in FIELDS)} FROM ob WINDOW w AS (PARTITION BY photo ORDER BY ord)),
+ ev AS (SELECT *, {_PRESENT.format(*(f' AND NOT h_{f}' for f in FIELDS))} AS accepted FROM hd WHERE head OR NOT (h_odo AND h_battery AND h_range)),
+ rn AS (SELECT *, CASE WHEN rung = 'anchor-region' THEN accepted ELSE {_PRESENT.format('', '', '')} END AS produced FROM ev WHERE head OR rung <> 'anchor-region' OR len(accepted) > 0)"""
+_SHOWN = "CAST({0} AS VARCHAR) || ' ← ' || engine || ' / ' || variant || ' / ' || rung"
+_JSON = """'"{0}":{{"value":' || {0} || ',"engine":"' || engine || '","variant":"' || variant || '","stage":"' || rung || '","confidence":null}}'"""
+
 ORACLE = {
+    "dashboard_parse": f"{_PARSE} SELECT case_id, odo, battery, range, array_to_string(notes, '; ') AS notes FROM parsed",
+    "ladder_provenance": f"{_LADDER} " + " UNION ALL ".join(f"SELECT photo, '{f}' AS field, {_SHOWN.format(f)} AS shown FROM rn WHERE list_contains(accepted, '{f}')" for f in FIELDS),
+    "ladder_run": f"""{_LADDER}, k AS (SELECT case_id // 8 AS photo, case_id % 8 AS ord, count(*) AS n FROM o GROUP BY 1, 2),
+ j AS (SELECT photo, '"fields":{{' || string_agg(x, ',' ORDER BY ord, n) || '}}' AS fields FROM ({' UNION ALL '.join(f"SELECT photo, ord, {n} AS n, {_JSON.format(f)} AS x FROM rn WHERE list_contains(accepted, '{f}')" for n, f in enumerate(FIELDS))}) GROUP BY 1)
+ SELECT rn.photo AS photo, {', '.join(f"max({f}) FILTER (WHERE list_contains(accepted, '{f}')) AS {f}" for f in FIELDS)},
+ string_agg(rung || ':' || engine || ':' || variant || ':' || array_to_string(produced, '|') || ':' || array_to_string(accepted, '|'), ';' ORDER BY rn.ord) AS events,
+ CAST(sum(CASE WHEN rung = 'pass1' THEN n WHEN rung = 'anchor-region' THEN 0 ELSE n + 1 END) AS INTEGER) AS n_lines,
+ CAST(sum(len(notes) + CASE WHEN rung IN ('pass1', 'anchor-region') THEN 0 ELSE len(accepted) END) AS INTEGER) AS n_notes,
+ '{{"engines":[' || CASE WHEN bool_or(rung = 'pass1') THEN '"mlkit"' ELSE '' END || '],' || coalesce(any_value(fields), '"fields":{{}}') || ',"notes":[]}}' AS debugJson
+ FROM rn JOIN k USING (photo, ord) LEFT JOIN j ON j.photo = rn.photo GROUP BY rn.photo""",
+    "fill_empty_merge": f"""{_PARSE}, ln AS (SELECT case_id, string_agg(text, '|' ORDER BY i) AS t FROM o GROUP BY 1)
+ SELECT a.case_id // 8 AS photo, {', '.join(f'coalesce(a.{f}, b.{f}) AS {f}' for f in FIELDS)}, la.t || '|— pass2 (high-res) —|' || lb.t AS lines,
+ array_to_string(list_concat(a.notes, list_concat(list_filter([{', '.join(f"CASE WHEN a.{f} IS NULL AND b.{f} IS NOT NULL THEN '{f}: recovered by pass2 (high-res)' END" for f in FIELDS)}], lambda x: x IS NOT NULL),
+ list_transform(b.notes, lambda x: 'pass2 (high-res): ' || x))), '; ') AS notes
+ FROM parsed a JOIN parsed b ON b.case_id = a.case_id + 1 JOIN ln la ON la.case_id = a.case_id JOIN ln lb ON lb.case_id = b.case_id WHERE a.case_id % 8 = 0""",
     "text_normalize": f"{_LINE_CTE} SELECT case_id, i, t AS line, array_to_string({_TOKENS.format('t')}, '|') AS tokens, translate(t, '012568', 'OIZSGB') AS folded FROM o",
     "fuzzy_label_match": f"{_LINE_CTE} SELECT case_id, i, {_match_sql(('ODO', 'TOTAL'))} AS odo, {_match_sql(('BATTERY', 'BATT'))} AS battery, {_match_sql(('RANGE',))} AS range_ FROM o",
     "digit_repair": f"{_LINE_CTE} SELECT case_id, i, {_REPAIR.format('t')} AS repaired FROM o",
