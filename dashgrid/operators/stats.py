@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.text import ratio_text
 from ..schemas import FIELDS, RUNGS, TIEBREAKS, dimension
@@ -33,8 +34,9 @@ def engine_variant(rows: DataFrame) -> DataFrame:
     return e.groupBy("engine", "variant").agg(F.sum("n").alias("accepted"))
 
 
-def engine_variant_pivot(rows: DataFrame, engines: list[str]) -> DataFrame:
-    return engine_variant(rows).groupBy("variant").pivot("engine", engines).agg(F.sum("accepted")).fillna(0)
+def engine_variant_pivot(rows: DataFrame) -> DataFrame:
+    """(variant, one column per engine seen), engines in order of their names; a pair without accepted values counts 0."""
+    return engine_variant(rows).groupBy("variant").pivot("engine").agg(F.sum("accepted")).fillna(0)
 
 
 def _outcomes(rows: DataFrame) -> DataFrame:
@@ -59,9 +61,13 @@ def latency(rows: DataFrame) -> DataFrame:
 
 
 def accuracy(matched: DataFrame) -> DataFrame:
-    """(mode, field, compared, correct): a missing value against a known truth counts as compared and wrong."""
+    """(mode, field, compared, correct): a missing value against a known truth counts as compared and wrong.
+
+    No rows at all if no batch row has a truth.
+    """
     g = matched.groupBy("mode").agg(*(x for f in FIELDS for x in (
         F.count(F.col("truth")[f]).alias(f"{f}_compared"), F.count_if(F.col(f) == F.col("truth")[f]).alias(f"{f}_correct"))), F.count("truth").alias("known"))
+    g = g.withColumn("known", F.sum("known").over(W.partitionBy(F.lit(0)))).where("known > 0")  # one row per mode
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"{f}_compared").alias("compared"), F.col(f"{f}_correct").alias("correct")) for f in FIELDS)))
     return g.select("mode", each.alias("x")).select("mode", "x.*")
 

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_escape
-from ..operators import fuse, readings as R, stats as A, truth as T
-from ..schemas import FIELDS, MODES, RUNGS, TIEBREAKS
+from ..operators import fuse, readings as R, report, stats as A, truth as T
+from ..schemas import FIELDS, MODES, RUNGS, TIEBREAKS, engines_of
 from ..session import table
 
-ENGINES = ["7seg", "mlkit", "paddle"]
 _READING = "id, vehicleId, timestamp, odoKm, batteryPct, rangeKm, eventType, userEdited, ocrOdo, ocrBattery, ocrRange, imagePath, imageHash"
 
 
@@ -43,8 +42,9 @@ def backfill_update(s: SparkSession, d: str) -> DataFrame:
 
 
 def append_readings(s: SparkSession, d: str) -> DataFrame:
+    """All readings appended once more: the new id of each row."""
     r = _r(s, d)
-    return R.append(r, r.where("eventType = 'CHARGE_END' and timestamp is not null")).agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("id").alias("n"), F.countDistinct("id").alias("ids"))
+    return R.append(r, r.withColumn("of", F.col("id")), "of").select("of", "id", "timestamp", "odoKm")
 
 
 def snapshot_diff(s: SparkSession, d: str) -> DataFrame:
@@ -95,26 +95,13 @@ def ensemble_merge(s: SparkSession, d: str) -> DataFrame:
 
 def batch_csv_rows(s: SparkSession, d: str) -> DataFrame:
     """The 31 cells of each batch row, joined to one line."""
-    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    p = lambda f: F.try_element_at("provenance", F.lit(f))
-    cells = [csv_escape(text(F.col("imageName"))), text(F.col("imageHash")), text(F.col("mode"))]
-    for f in FIELDS:
-        cells += [text(F.col(f)), *(text(p(f)[c]) for c in ("engine", "variant", "stage", "confidence"))]
-    ran = F.array_join(F.transform("rungEvents", lambda e: e["rung"]), ";")
-    won = F.array_join(F.transform(F.filter("rungEvents", lambda e: F.size(e["accepted"]) > 0), lambda e: F.concat(e["rung"], F.lit(":"), F.array_join(F.array_sort(e["accepted"]), "|"))), ";")
-    flag = lambda c: F.when(c, "1").otherwise("0")
-    gt = F.col("groundTruth")
-    cells += [text(F.col("totalMillis")), text(F.col("pass1Millis")), text(F.col("ladderMillis")), csv_escape(text(ran)), csv_escape(text(won))]
-    cells += [flag(gt.isNotNull()), F.when(gt.isNull(), "").otherwise(flag(gt["corrected"]))]
-    for f in FIELDS:
-        cells += [text(gt[f]), F.when(gt[f].isNull(), "").otherwise(flag(F.coalesce(F.col(f) == gt[f], F.lit(False))))]
-    return _b(s, d).select("rowId", F.concat_ws(",", *cells).alias("line"))
+    return _b(s, d).select("rowId", report.csv_line().alias("line"))
 
 
 def provenance_json(s: SparkSession, d: str) -> DataFrame:
-    doc = F.struct(F.array_sort(F.array_distinct(F.transform(F.map_values("provenance"), lambda p: p["engine"]))).alias("engines"),
-                   F.col("provenance").alias("fields"), F.array_sort(F.array_compact(F.transform(F.map_values("ensembleOutcomes"), lambda o: o["note"]))).alias("notes"))
-    return _b(s, d).select("rowId", F.to_json(doc, {"ignoreNullFields": "false"}).alias("json"))
+    """The debug JSON of every batch row: engines of its mode, provenance, the ensemble's notes."""
+    outcome = lambda f: F.try_element_at("ensembleOutcomes", F.lit(f))["note"]
+    return _b(s, d).select("rowId", fuse.provenance_json(F.col("provenance"), engines_of(F.col("mode")), F.array_compact(F.array(*map(outcome, FIELDS)))).alias("json"))
 
 
 def truth_csv(s: SparkSession, d: str) -> DataFrame:
@@ -127,7 +114,8 @@ def truth_csv(s: SparkSession, d: str) -> DataFrame:
 
 
 def headline(s: SparkSession, d: str) -> DataFrame:
-    return T.headline(T.match_summary(_matched(s, d)), "saved readings")
+    label = T.truth_counts(T.truth_by_hash(_r(s, d)), T.truth_by_name(_r(s, d))).select("label")
+    return T.headline(T.match_summary(_matched(s, d)).join(label), F.col("label"))  # one row each
 
 
 def provenance_display(s: SparkSession, d: str) -> DataFrame:
@@ -168,6 +156,11 @@ QUERIES = {
     "match_resolve": lambda s, d: _matched(s, d).select("rowId", *(F.col(f"truth.{c}").alias(c) for c in (*FIELDS, "corrected")), "by_hash"),
     "match_summary": lambda s, d: T.match_summary(_matched(s, d)),
     "match_headline": headline,
+    "truth_counts": lambda s, d: T.truth_counts(T.truth_by_hash(_r(s, d)), T.truth_by_name(_r(s, d))),
+    "truth_to_csv": lambda s, d: T.truth_csv_lines(table(s, d, "gt_entries")),
+    "save_gate": lambda s, d: _r(s, d).select("id", R.save_gate().alias("g")).select("id", "g.battery", "g.refused"),
+    "detail_rendering": lambda s, d: _r(s, d).select("id", R.detail_text().alias("shown")),
+    "mode_engines": lambda s, d: _b(s, d).select("rowId", F.array_join(engines_of(F.col("mode")), ",").alias("engines")),
     "image_count": lambda s, d: _b(s, d).agg(F.countDistinct("imageName").alias("images"), F.count(F.lit(1)).alias("runs")),
     "image_mode_cross": image_mode_cross,
     "fill_rate": lambda s, d: A.fill_rate(_b(s, d)),
@@ -175,7 +168,7 @@ QUERIES = {
     "rung_table": lambda s, d: A.rung_table(_b(s, d)),
     "dead_rungs": lambda s, d: A.rung_table(_b(s, d)).where("is_dead or ran = 0").select("rung", "ran"),
     "engine_variant_matrix": lambda s, d: A.engine_variant(_b(s, d)),
-    "engine_variant_pivot": lambda s, d: A.engine_variant_pivot(_b(s, d), ENGINES),
+    "engine_variant_pivot": lambda s, d: A.engine_variant_pivot(_b(s, d)),
     "merge_outcomes": lambda s, d: A.merge_outcomes(_b(s, d)),
     "tiebreak_counts": lambda s, d: A.tiebreak_counts(_b(s, d)),
     "latency_avg": lambda s, d: A.latency(_b(s, d)),
@@ -192,10 +185,10 @@ QUERIES = {
 }
 
 _NAME = "regexp_replace(lower(regexp_extract({}, '[^/]*$')), '^\\s+|\\s+$', '', 'g')"
-_ENTRY = "coalesce(regexp_extract(imagePath, '[^/]*$'), '') AS filename, odoKm AS odo, batteryPct AS battery, rangeKm AS range, coalesce(userEdited, false) AS corrected"
+_ENTRY = "coalesce(nullif(regexp_extract(imagePath, '[^/]*$'), ''), 'reading_' || id) AS filename, odoKm AS odo, batteryPct AS battery, rangeKm AS range, coalesce(userEdited, false) AS corrected"
 _BY_HASH = f"""SELECT imageHash AS hash, {_ENTRY} FROM readings WHERE imageHash IS NOT NULL
  QUALIFY row_number() OVER (PARTITION BY imageHash ORDER BY timestamp DESC NULLS LAST, id) = 1"""
-_BY_NAME = f"""SELECT n AS name, {_ENTRY} FROM (SELECT *, nullif({_NAME.format('imagePath')}, '') n FROM readings WHERE imageHash IS NOT NULL)
+_BY_NAME = f"""SELECT n AS name, {_ENTRY} FROM (SELECT *, CASE WHEN regexp_extract(imagePath, '[^/]*$') <> '' THEN {_NAME.format('imagePath')} END n FROM readings)
  WHERE n IS NOT NULL QUALIFY row_number() OVER (PARTITION BY n ORDER BY timestamp DESC NULLS LAST, id) = 1"""
 _MATCH = f"""WITH h AS ({_BY_HASH}), n AS ({_BY_NAME}), m AS (SELECT b.*, h.hash IS NOT NULL AS by_hash, h.hash IS NOT NULL OR n.name IS NOT NULL AS hit,
  {', '.join(f'CASE WHEN h.hash IS NOT NULL THEN h.{c} ELSE n.{c} END AS t_{c}' for c in (*FIELDS, 'corrected'))}
@@ -256,7 +249,7 @@ ORACLE = {
     "user_edited_scan": f"SELECT {_READING} FROM readings WHERE userEdited ORDER BY timestamp DESC",
     "missing_hash_scan": f"SELECT {_READING} FROM readings WHERE imageHash IS NULL AND imagePath IS NOT NULL",
     "max_odo": "SELECT max(odoKm) AS max_odo FROM readings",
-    "append_readings": "SELECT top + 1 AS lo, top + n AS hi, n, n AS ids FROM (SELECT (SELECT max(id) FROM readings) top, count(*) n FROM readings WHERE eventType = 'CHARGE_END' AND timestamp IS NOT NULL)",
+    "append_readings": "SELECT id AS of, (SELECT max(id) FROM readings) + row_number() OVER (ORDER BY timestamp NULLS FIRST, id) AS id, timestamp, odoKm FROM readings",
     "backfill_update": """WITH k AS (SELECT vehicleId, date_diff('ms', TIMESTAMP '1970-01-01', capturedAt) ts, min(imageHash) h FROM batch_rows WHERE imageHash IS NOT NULL GROUP BY 1, 2)
  SELECT id, CASE WHEN imageHash IS NULL AND imagePath IS NOT NULL THEN h ELSE imageHash END AS imageHash FROM readings r LEFT JOIN k ON r.vehicleId = k.vehicleId AND r.timestamp = k.ts""",
     "migrate_add_columns": "SELECT id, CAST(NULL AS VARCHAR) AS debugJson, CAST(NULL AS BOOLEAN) AS synced FROM readings",
@@ -277,8 +270,19 @@ ORACLE = {
     "match_resolve": f"{_MATCH} SELECT rowId, {', '.join(f't_{c} AS {c}' for c in (*FIELDS, 'corrected'))}, by_hash FROM m",
     "match_summary": f"""{_MATCH}, l AS (SELECT imageName, arg_max(by_hash, rowId) FILTER (WHERE hit) h, arg_max(t_corrected, rowId) FILTER (WHERE hit) c FROM m WHERE imageName IS NOT NULL GROUP BY 1)
  SELECT count(*) AS images, count(h) AS matched, count(*) FILTER (WHERE h) AS by_hash, count(*) FILTER (WHERE NOT h) AS by_name, count(*) FILTER (WHERE c) AS corrected, count(*) FILTER (WHERE NOT c) AS confirmed FROM l""",
-    "match_headline": f"""{_MATCH}, l AS (SELECT imageName, bool_or(hit) h FROM m WHERE imageName IS NOT NULL GROUP BY 1)
- SELECT 'Ground truth: saved readings — matched ' || count(*) FILTER (WHERE h) || ' of ' || count(*) || ' images' AS headline FROM l""",
+    "match_headline": f"""{_MATCH}, l AS (SELECT imageName, arg_max(by_hash, rowId) FILTER (WHERE hit) h, arg_max(t_corrected, rowId) FILTER (WHERE hit) c FROM m WHERE imageName IS NOT NULL GROUP BY 1)
+ SELECT 'Ground truth: ' || count(h) || ' of ' || count(*) || ' images matched (source: saved readings — ' || (SELECT count(*) FILTER (WHERE corrected) || ' corrected, ' || count(*) FILTER (WHERE NOT corrected) FROM h)
+ || ' confirmed-as-is) — ' || count(*) FILTER (WHERE c) || ' corrected, ' || count(*) FILTER (WHERE NOT c) || ' confirmed-as-is' AS headline FROM l""",
+    "truth_counts": f"""SELECT by_hash, by_name, corrected, confirmed, 'saved readings — ' || corrected || ' corrected, ' || confirmed || ' confirmed-as-is' AS label
+ FROM (SELECT count(*) by_hash, count(*) FILTER (WHERE corrected) corrected, count(*) FILTER (WHERE NOT corrected) confirmed FROM ({_BY_HASH})), (SELECT count(*) by_name FROM ({_BY_NAME}))""",
+    "truth_to_csv": "SELECT CASE WHEN regexp_matches(filename, '[,\"\\n\\r]') THEN '\"' || replace(filename, '\"', '\"\"') || '\"' ELSE coalesce(filename, '') END || " + " || ".join(f"',' || coalesce(CAST({f} AS VARCHAR), '')" for f in FIELDS) + " AS value FROM gt_entries",
+    "save_gate": "SELECT id, CASE WHEN batteryPct BETWEEN 0 AND 100 THEN batteryPct END AS battery, coalesce(batteryPct < 0 OR batteryPct > 100, false) AS refused FROM readings",
+    "detail_rendering": "SELECT id, concat_ws(chr(10), strftime(epoch_ms(timestamp), '%b %-d, %Y %-I:%M %p'), eventType, 'Odometer: ' || coalesce(CAST(odoKm AS VARCHAR), '–') || ' km', 'Battery: ' || coalesce(CAST(batteryPct AS VARCHAR), '–') || '%', 'Range: ' || coalesce(CAST(rangeKm AS VARCHAR), '–') || ' km', "
+                        "'Raw OCR values — odo: ' || coalesce(CAST(ocrOdo AS VARCHAR), '–') || ', battery: ' || coalesce(CAST(ocrBattery AS VARCHAR), '–') || ', range: ' || coalesce(CAST(ocrRange AS VARCHAR), '–'), CASE WHEN userEdited THEN 'edited' END) AS shown FROM readings",
+    "mode_engines": "SELECT rowId, CASE mode WHEN 'ML_KIT' THEN 'mlkit' WHEN 'PADDLE' THEN 'paddle' ELSE 'mlkit,paddle' END AS engines FROM batch_rows",
+    "provenance_json": """SELECT rowId, '{"engines":[' || CASE mode WHEN 'ML_KIT' THEN '"mlkit"' WHEN 'PADDLE' THEN '"paddle"' ELSE '"mlkit","paddle"' END || '],"fields":{' || coalesce(array_to_string(list_transform(map_entries(provenance), lambda e:
+ to_json(e.key) || ':{"value":' || coalesce(CAST(e.value.value AS VARCHAR), 'null') || ',"engine":' || to_json(e.value.engine) || ',"variant":' || to_json(e.value.variant) || ',"stage":' || to_json(e.value.stage) || ',"confidence":' || coalesce(to_json(e.value.confidence), 'null') || '}'), ','), '')
+ || '},"notes":[' || array_to_string(list_transform(list_filter([""" + ", ".join(f"ensembleOutcomes['{f}'].note" for f in FIELDS) + """], lambda x: x IS NOT NULL), lambda x: to_json(x)), ',') || ']}' AS json FROM batch_rows""",
     "image_count": "SELECT count(DISTINCT imageName) AS images, count(*) AS runs FROM batch_rows",
     "image_mode_cross": f"SELECT imageHash, mode FROM (SELECT DISTINCT imageHash FROM batch_rows WHERE imageHash IS NOT NULL), (VALUES {', '.join(f'({m!r})' for m in MODES)}) v(mode)",
     "fill_rate": _FILL,
@@ -286,7 +290,7 @@ ORACLE = {
     "rung_table": _RUNG,
     "dead_rungs": f"SELECT rung, ran FROM ({_RUNG}) WHERE is_dead OR ran = 0",
     "engine_variant_matrix": _EV,
-    "engine_variant_pivot": "SELECT variant, " + ", ".join(f"""CAST(coalesce(sum(accepted) FILTER (WHERE engine = '{e}'), 0) AS BIGINT) AS "{e}\"""" for e in ENGINES) + f" FROM ({_EV}) GROUP BY variant",
+    "engine_variant_pivot": f"SELECT variant, CAST(coalesce(COLUMNS(* EXCLUDE (variant)), 0) AS BIGINT) FROM (PIVOT ({_EV}) ON engine USING sum(accepted) GROUP BY variant)",
     "merge_outcomes": f"SELECT field, confidence, count(*) AS n FROM {_OUT} GROUP BY 1, 2",
     "tiebreak_counts": f"""SELECT coalesce(k.t, g.t) AS tiebreak, coalesce(n, 0) AS n FROM (VALUES {', '.join(f"('{t}')" for t in TIEBREAKS)}) k(t)
  FULL JOIN (SELECT tiebreak t, count(*) n FROM {_OUT} WHERE tiebreak IS NOT NULL GROUP BY 1) g ON k.t = g.t""",
