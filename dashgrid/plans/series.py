@@ -45,6 +45,19 @@ def p3_grid(spark: SparkSession, d: str) -> DataFrame:
     return g.select(F.col("source").alias("vehicle_id"), _day("cell").alias("day"), F.col("n").alias("n_readings"), F.col("value").alias("odo_km"), "status")
 
 
+def p3_status(spark: SparkSession, d: str) -> DataFrame:
+    """The grid over all readings of a day: how many each day has, and whether it is observed, filled or in a long gap."""
+    g = regular_grid(odo_readings(table(spark, d, "readings")), "vehicleId", "timestamp", "odoKm")
+    return g.select(F.col("source").alias("vehicle_id"), _day("cell").alias("day"), F.col("n").alias("n_readings"), "status")
+
+
+def p5_readings(spark: SparkSession, d: str) -> DataFrame:
+    """Readings of each day and over the last 7 and 30 days, as totals and daily averages."""
+    r = odo_readings(table(spark, d, "readings")).select("vehicleId", F.floor(F.col("timestamp") / DAY_MS).alias("day"), F.lit(1).alias("readings"))
+    t = rolling_totals(r, "vehicleId", "day", ["readings"])
+    return t.select(F.col("source").alias("vehicle_id"), _day("day").alias("day"), *(c for c in t.columns if c not in ("source", "day")))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     r = odo_readings(table(spark, d, "readings")).select("vehicleId", F.floor(F.col("timestamp") / DAY_MS).alias("day"), F.lit(1).alias("n"))
     t = rolling_totals(r, "vehicleId", "day", ["n"])
@@ -59,7 +72,7 @@ def p5_totals(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("source").alias("vehicle_id"), _day("day").alias("day"), *(c for c in t.columns if c not in ("source", "day")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p3_found": p3_found, "p3_grid": p3_grid, "p5_found": p5_found, "p5_totals": p5_totals}
+QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p3_found": p3_found, "p3_grid": p3_grid, "p3_status": p3_status, "p5_readings": p5_readings, "p5_found": p5_found, "p5_totals": p5_totals}
 
 _DAYS = """SELECT DISTINCT vehicleId v, timestamp // 86400000 d FROM readings
  WHERE odoKm IS NOT NULL AND vehicleId IS NOT NULL AND timestamp >= 1672531200000 AND timestamp < 1767225600000"""
@@ -71,4 +84,11 @@ ORACLE = {
     "p5_found": f"""WITH days AS ({_DAYS}), x AS (SELECT v, d, lead(d) OVER (PARTITION BY v ORDER BY d) nx FROM days)
  SELECT v AS vehicle_id, strftime(DATE '1970-01-01' + CAST(g AS INTEGER), '%Y-%m-%d') AS day
  FROM (SELECT v, unnest(range(d + 7, least(nx, d + 30))) g FROM x WHERE nx > d + 7)""",
+    "p3_status": f"""WITH days AS (SELECT v, d, count(*) n FROM ({_DAYS.replace('DISTINCT ', '')}) GROUP BY ALL), x AS (SELECT v, d, n, lead(d) OVER (PARTITION BY v ORDER BY d) nx FROM days)
+ SELECT v AS vehicle_id, strftime(DATE '1970-01-01' + CAST(g AS INTEGER), '%Y-%m-%d') AS day, CASE WHEN g = d THEN n ELSE 0 END AS n_readings,
+ CASE WHEN g = d THEN 'observed' WHEN nx - d <= 30 THEN 'filled' ELSE 'gap' END AS status FROM (SELECT v, d, n, nx, unnest(range(d, coalesce(nx, d + 1))) g FROM x)""",
+    "p5_readings": f"""WITH days AS (SELECT v, d, count(*) n FROM ({_DAYS.replace('DISTINCT ', '')}) GROUP BY ALL), x AS (SELECT v, d, n, lead(d) OVER (PARTITION BY v ORDER BY d) nx FROM days),
+ e AS (SELECT v, g, CAST(CASE WHEN g = d THEN n ELSE 0 END AS DOUBLE) r FROM (SELECT v, d, n, unnest(range(d, coalesce(nx, d + 1))) g FROM x)),
+ t AS (SELECT v, g, r, sum(r) OVER (PARTITION BY v ORDER BY g ROWS 6 PRECEDING) a, sum(r) OVER (PARTITION BY v ORDER BY g ROWS 29 PRECEDING) b FROM e)
+ SELECT v AS vehicle_id, strftime(DATE '1970-01-01' + CAST(g AS INTEGER), '%Y-%m-%d') AS day, r AS readings, a AS readings_7d, b AS readings_30d, a / 7 AS readings_7d_avg, b / 30 AS readings_30d_avg FROM t""",
 }
