@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -200,3 +201,22 @@ def encode_corpus(df: DataFrame, text: str, keep: Sequence[str], path: str | Non
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), got], names=[*keep, out.name])
 
     return slim.mapInArrow(run, schema)
+
+
+def id_bytes(df: DataFrame, ids: str, keep: Sequence[str], path: str | None = None) -> DataFrame:
+    """``keep`` columns plus ``n_bytes``, the length of the text that a row's ids spell."""
+    path = path or os.path.join(TOKENIZER_DIR, VOCABULARY)
+    slim = df.select(*keep, ids)
+    schema = T.StructType([*(slim.schema[c] for c in keep), T.StructField("n_bytes", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        size = np.zeros(enc.size, np.int64)
+        size[[*enc.pieces]] = [*map(len, enc.pieces.values())]
+        for b in batches:
+            a = b.column(ids)
+            sums = np.concatenate([[0], np.cumsum(size[a.flatten().to_numpy(zero_copy_only=False)])])
+            ends = np.cumsum(np.nan_to_num(pc.list_value_length(a).to_numpy(zero_copy_only=False)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(np.diff(sums[np.concatenate([[0], ends])]))], names=[*keep, "n_bytes"])
+
+    return slim.mapInArrow(run, schema)
