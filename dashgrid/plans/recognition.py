@@ -117,8 +117,17 @@ def fill_empty_merge(s: SparkSession, d: str) -> DataFrame:
     return m.select("photo", *(f"m.{f}" for f in FIELDS), F.array_join(F.transform("m.lines", lambda x: x["text"]), "|").alias("lines"), F.array_join("m.notes", "; ").alias("notes"))
 
 
+def ensemble_lines(s: SparkSession, d: str) -> DataFrame:
+    """The first two observations of every photo fused as two engines' results, with the confidences of their lines."""
+    side = lambda k, n, engine: observations(s, d).where(F.col("ord") == k).select("photo", F.struct(engine.alias("engine"), *FIELDS, "lines").alias(n))
+    both = side(0, "first", F.lit("mlkit")).join(side(1, "second", F.when(F.col("photo") % 2 == 0, "paddle").otherwise("other")), "photo")
+    out = fuse.ensemble(both.withColumn("last_odo", F.lit(12_000)))
+    return out.select("photo", *(F.col(f"{f}_outcome.{c}").alias(f"{f}_{c}") for f in FIELDS for c in ("value", "confidence", "engine", "tiebreak")))
+
+
 def best_confidence(s: SparkSession, d: str) -> DataFrame:
-    return ocr_cases(s, d).select("case_id", fuse.line_confidence(F.lit(47), F.col("lines")).cast("double").alias("confidence"))
+    """Best confidence of the lines that hold a value that varies with the case."""
+    return ocr_cases(s, d).select("case_id", fuse.line_confidence((F.col("case_id") % 100).cast("int"), F.col("lines")).cast("double").alias("confidence"))
 
 
 def reading_order(s: SparkSession, d: str) -> DataFrame:
@@ -139,7 +148,7 @@ def quad_metrics(s: SparkSession, d: str) -> DataFrame:
     e = lambda i: F.get("embedding", F.lit(i)).cast("double")
     corners = F.array(*(F.struct((F.lit(float(x)) + F.floor(e(2 * k) * 16)).alias("x"), (F.lit(float(y)) + F.floor(e(2 * k + 1) * 16)).alias("y")) for k, (x, y) in enumerate(((0, 0), (90, 0), (90, 40), (0, 40)))))
     q = S.quad_metrics(corners)
-    return table(s, d, "embeddings").select("vec_id", q.alias("q")).select("vec_id", "q.area", "q.box_area", F.round("q.width", 6).alias("width"), F.round("q.height", 6).alias("height"), "q.degenerate")
+    return table(s, d, "embeddings").select("vec_id", q.alias("q")).select("vec_id", "q.area", "q.box_area", F.round("q.width", 6).alias("width"), F.round("q.height", 6).alias("height"), F.round("q.skew", 6).alias("skew"), "q.degenerate")
 
 
 def ctc_decode(s: SparkSession, d: str) -> DataFrame:
@@ -204,7 +213,7 @@ def laplacian_variance(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "text_normalize": text_normalize, "fuzzy_label_match": fuzzy_label_match, "digit_repair": digit_repair, "field_value_parsers": field_value_parsers, "separator_normalize": separator_normalize,
-    "line_boxes": line_boxes, "nearest_value": nearest_value, "dashboard_parse": dashboard_parse, "ladder_run": ladder_run, "ladder_provenance": ladder_provenance, "fill_empty_merge": fill_empty_merge, "line_confidence": best_confidence, "reading_order": reading_order, "csv_cells": csv_cells,
+    "line_boxes": line_boxes, "nearest_value": nearest_value, "dashboard_parse": dashboard_parse, "ladder_run": ladder_run, "ladder_provenance": ladder_provenance, "fill_empty_merge": fill_empty_merge, "ensemble_lines": ensemble_lines, "line_confidence": best_confidence, "reading_order": reading_order, "csv_cells": csv_cells,
     "quad_metrics": quad_metrics, "ctc_decode": ctc_decode, "sharpness_gate": sharpness_gate,
     "otsu": _grid_query("threshold int", lambda g: (G.otsu(g),)),
     "box_blur": _grid_query("blurred string", lambda g: (_text(G.box_blur(g, 1)),)),
@@ -265,6 +274,8 @@ _C = [f"({x} + floor(CAST(embedding[{2 * k + 1}] AS DOUBLE) * 16))" for k, x in
 _R = [f"({y} + floor(CAST(embedding[{2 * k + 2}] AS DOUBLE) * 16))" for k, y in enumerate((0, 0, 40, 40))]
 _AREA = "abs(" + " + ".join(f"x{i} * y{(i + 1) % 4} - x{(i + 1) % 4} * y{i}" for i in range(4)) + ") / 2"
 _SIDE = lambda i, j: f"sqrt((x{i} - x{j}) * (x{i} - x{j}) + (y{i} - y{j}) * (y{i} - y{j}))"
+_FLAT = lambda i, j: f"abs(degrees(atan2(y{j} - y{i}, x{j} - x{i})))"
+_STEEP = lambda i, j: f"abs(degrees(atan2(x{j} - x{i}, y{j} - y{i})))"
 _BOX = "(greatest(x0, x1, x2, x3) - least(x0, x1, x2, x3)) * (greatest(y0, y1, y2, y3) - least(y0, y1, y2, y3))"
 
 
@@ -331,7 +342,37 @@ _LADDER = f"""{_PARSE}, ob AS (SELECT case_id // 8 AS photo, case_id % 8 AS ord,
 _SHOWN = "CAST({0} AS VARCHAR) || ' ← ' || engine || ' / ' || variant || ' / ' || rung"
 _JSON = """'"{0}":{{"value":' || {0} || ',"engine":"' || engine || '","variant":"' || variant || '","stage":"' || rung || '","confidence":null}}'"""
 
+
+
+def _fused_sql() -> str:
+    cols = []
+    for f in FIELDS:
+        sane = {"odo": "{0} BETWEEN 12000 AND 13000", "battery": "{0} BETWEEN 0 AND 100", "range": "{0} BETWEEN 0 AND 250"}[f]
+        a, b, ca, cb = f"a_{f}", f"b_{f}", f"ca_{f}", f"cb_{f}"
+        sa, sb = f"({sane.format(a)})", f"({sane.format(b)})"
+        rule = f"CASE WHEN {sa} <> {sb} THEN 'sanity check' WHEN {ca} <> {cb} THEN 'higher OCR confidence' WHEN e2 = 'paddle' THEN 'engine preference' ELSE 'primary engine fallback' END"
+        first = f"CASE WHEN {sa} <> {sb} THEN {sa} WHEN {ca} <> {cb} THEN {ca} > {cb} ELSE e2 <> 'paddle' END"
+        case = lambda none, one, same, other, a=a, b=b: f"CASE WHEN {a} IS NULL AND {b} IS NULL THEN {none} WHEN {a} IS NULL OR {b} IS NULL THEN {one} WHEN {a} = {b} THEN {same} ELSE {other} END"
+        cols += [case("NULL", f"coalesce({a}, {b})", a, f"CASE WHEN {first} THEN {a} ELSE {b} END") + f" AS {f}_value", case("NULL", "'MEDIUM'", "'HIGH'", "'LOW'") + f" AS {f}_confidence",
+                 case("NULL", f"CASE WHEN {a} IS NULL THEN e2 ELSE 'mlkit' END", "'both'", f"CASE WHEN {first} THEN 'mlkit' ELSE e2 END") + f" AS {f}_engine", case("NULL", "NULL", "NULL", rule) + f" AS {f}_tiebreak"]
+    conf = ", ".join(f"max(confidence) FILTER (WHERE contains(regexp_replace(text, '[^0-9]', '', 'g'), CAST(p.{f} AS VARCHAR))) AS c_{f}" for f in FIELDS)
+    return f"""{_PARSE}, z AS (SELECT p.case_id, p.odo, p.battery, p.range, {conf} FROM parsed p JOIN o USING (case_id) GROUP BY ALL),
+ e AS (SELECT a.case_id // 8 AS photo, CASE WHEN a.case_id // 8 % 2 = 0 THEN 'paddle' ELSE 'other' END AS e2, {', '.join(f'a.{f} AS a_{f}, b.{f} AS b_{f}, a.c_{f} AS ca_{f}, b.c_{f} AS cb_{f}' for f in FIELDS)}
+ FROM z a JOIN z b ON b.case_id = a.case_id + 1 WHERE a.case_id % 8 = 0) SELECT photo, {', '.join(cols)} FROM e"""
+
+
+_GAUSS = lambda c, src: (f"SELECT p.vec_id, p.y, p.x, CAST(sum(w * q.v) AS BIGINT) // 16 AS v FROM ({src}) p, (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) k(d, w), ({src}) q "
+                         f"WHERE q.vec_id = p.vec_id AND q.{c} = greatest(0, least(7, p.{c} + d)) AND q.{'y' if c == 'x' else 'x'} = p.{'y' if c == 'x' else 'x'} GROUP BY 1, 2, 3")
+_BACK = _window_sql(_MEAN, _MEAN, _window_sql(_MEAN, _MEAN, "SELECT * FROM p", 4), 4)
+
 ORACLE = {
+    "ensemble_lines": _fused_sql(),
+    "gaussian_blur": f"{_PIX}, gx AS ({_GAUSS('x', 'SELECT * FROM p')}) SELECT vec_id, {_LIST} AS blurred FROM ({_GAUSS('y', 'SELECT * FROM gx')}) GROUP BY 1",
+    "illumination_flatten": f"""{_PIX}, f AS (SELECT p.vec_id, p.y, p.x, least(255, p.v * 128 // greatest(1, b.v)) AS f FROM p JOIN ({_BACK}) b USING (vec_id, y, x)), l AS (SELECT vec_id, min(f) lo, max(f) hi FROM f GROUP BY 1),
+ s AS (SELECT f.vec_id, y, x, CASE WHEN hi <= lo THEN f ELSE (f - lo) * 255 // (hi - lo) END AS v FROM f JOIN l USING (vec_id)) SELECT vec_id, {_LIST} AS flat FROM s GROUP BY 1""",
+    "connected_components": f"""WITH RECURSIVE {_PIX[5:]}, m AS (SELECT vec_id, y, x FROM p WHERE v > 127), r AS (SELECT vec_id, y * 8 + x AS a, y, x FROM m UNION SELECT r.vec_id, r.a, m.y, m.x FROM r JOIN m ON m.vec_id = r.vec_id AND abs(m.y - r.y) + abs(m.x - r.x) = 1),
+ c AS (SELECT vec_id, a, min(y * 8 + x) AS c FROM r GROUP BY 1, 2), h AS (SELECT vec_id, c, max(a // 8) - min(a // 8) + 1 AS h FROM c GROUP BY 1, 2), k AS (SELECT vec_id, count(*) n, list_sort(list(h)) hs FROM h GROUP BY 1)
+ SELECT g.vec_id AS vec_id, CAST(coalesce(n, 0) AS INTEGER) AS components, CAST(hs[n // 2 + 1] AS INTEGER) AS median_height FROM g LEFT JOIN k USING (vec_id)""",
     "dashboard_parse": f"{_PARSE} SELECT case_id, odo, battery, range, array_to_string(notes, '; ') AS notes FROM parsed",
     "ladder_provenance": f"{_LADDER} " + " UNION ALL ".join(f"SELECT photo, '{f}' AS field, {_SHOWN.format(f)} AS shown FROM rn WHERE list_contains(accepted, '{f}')" for f in FIELDS),
     "ladder_run": f"""{_LADDER}, k AS (SELECT case_id // 8 AS photo, case_id % 8 AS ord, count(*) AS n FROM o GROUP BY 1, 2),
@@ -366,12 +407,12 @@ ORACLE = {
  n AS (SELECT *, CASE WHEN cy > abot THEN 'nearest-below' ELSE 'nearest-beside' END how FROM c WHERE lh <= 5 * h AND ((cy > ay AND dy <= 1.5 * h AND (ov OR gap <= 2 * h)) OR (beside AND gap <= 3 * h))
   QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY (ax - bx) * (ax - bx) + (ay - cy) * (ay - cy), i) = 1)
  SELECT a.case_id AS case_id, n.i AS nearest, how FROM a LEFT JOIN n ON a.case_id = n.case_id""",
-    "line_confidence": f"{_LINE_CTE} SELECT case_id, max(CAST(confidence AS DOUBLE)) FILTER (WHERE contains(regexp_replace(text, '[^0-9]', '', 'g'), '47')) AS confidence FROM o GROUP BY 1",
+    "line_confidence": f"{_LINE_CTE} SELECT case_id, max(CAST(confidence AS DOUBLE)) FILTER (WHERE contains(regexp_replace(text, '[^0-9]', '', 'g'), CAST(case_id % 100 AS VARCHAR))) AS confidence FROM o GROUP BY 1",
     "reading_order": f"{_LINE_CTE} SELECT case_id, string_agg(CAST(i AS VARCHAR), ',' ORDER BY y0, x0, i) AS order_ FROM o GROUP BY 1",
     "csv_cells": "SELECT coalesce(filename, '') AS c0, coalesce(CAST(odo AS VARCHAR), '') AS c1, coalesce(CAST(battery AS VARCHAR), '') AS c2, coalesce(CAST(range AS VARCHAR), '') AS c3, 4 AS n FROM gt_entries",
-    "quad_metrics": "WITH q AS (SELECT vec_id, " + ", ".join(f"{c} x{i}, {r} y{i}" for i, (c, r) in enumerate(zip(_C, _R))) + f""" FROM embeddings), m AS (SELECT vec_id, {_AREA} AS area, {_BOX} AS box_area,
+    "quad_metrics": "WITH q AS (SELECT vec_id, " + ", ".join(f"{c} x{i}, {r} y{i}" for i, (c, r) in enumerate(zip(_C, _R))) + f""" FROM embeddings), m AS (SELECT vec_id, {_AREA} AS area, {_BOX} AS box_area, x0, x1, x2, x3, y0, y1, y2, y3,
  ({_SIDE(0, 1)} + {_SIDE(3, 2)}) / 2 AS w, ({_SIDE(1, 2)} + {_SIDE(0, 3)}) / 2 AS h FROM q)
- SELECT vec_id, area, box_area, round(w, 6) AS width, round(h, 6) AS height, box_area <= 0 OR w < 2 OR h < 2 OR area < 0.6::DOUBLE * box_area AS degenerate FROM m""",
+ SELECT vec_id, area, box_area, round(w, 6) AS width, round(h, 6) AS height, round(greatest({_FLAT(0, 1)}, {_FLAT(3, 2)}, {_STEEP(0, 3)}, {_STEEP(1, 2)}), 6) AS skew, box_area <= 0 OR w < 2 OR h < 2 OR area < 0.6::DOUBLE * box_area AS degenerate FROM m""",
     "ctc_decode": """WITH t AS (SELECT vec_id, k, embedding[k * 8 + 1 : k * 8 + 8] s FROM embeddings, range(8) r(k)), b AS (SELECT vec_id, k, list_position(s, list_max(s)) - 1 c, CAST(list_max(s) AS DOUBLE) p FROM t),
  l AS (SELECT *, lag(c, 1, -1) OVER (PARTITION BY vec_id ORDER BY k) w FROM b)
  SELECT vec_id, coalesce(string_agg(['', '1', '2', '3', '4', '5', '6', ' '][c + 1], '' ORDER BY k) FILTER (WHERE c <> 0 AND c <> w), '') AS text,
