@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 
 from . import raster as G
 
+#: Limits of the segment reader (lower cells are dots, narrower ones the digit 1 if filled enough; confidences
+#: of a digit one segment off and of a reading cut short; most column runs and most cells).
+DOT_HEIGHT, ONE_WIDTH, ONE_FILL, NEAR_MISS, CUT_SHORT, MOST_RUNS, MOST_CELLS = 0.4, 0.4, 0.3, 0.8, 0.85, 16, 8
+
 #: Segments a to g (bits 0 to 6) of the digits, and their zones as shares of a cell (x0, y0, x1, y1).
 DIGITS = ("abcdef", "bc", "abged", "abgcd", "fgbc", "afgcd", "afgedc", "abc", "abcdefg", "abcdfg")
 ZONES = {"a": (0.20, 0.00, 0.80, 0.20), "f": (0.00, 0.05, 0.25, 0.45), "b": (0.75, 0.05, 1.00, 0.45), "g": (0.20, 0.40, 0.80, 0.60),
@@ -35,6 +39,16 @@ def ctc_greedy(logits: Column, steps: Column, classes: Column, chars: Column) ->
     return F.struct(F.when(ok, text).otherwise("").alias("text"), F.when(ok, F.coalesce(mean, F.lit(0.0))).otherwise(0.0).alias("confidence"))
 
 
+def ctc_text(scores: np.ndarray, chars: list[str]) -> tuple[str, float]:
+    """``ctc_greedy`` for one (steps, classes) array."""
+    if scores.ndim != 2 or not scores.size:
+        return "", 0.0
+    best = scores.argmax(1)
+    kept = (best != 0) & (best != np.r_[-1, best[:-1]])
+    text = "".join(chars[k] if k < len(chars) else "" for k in best[kept])
+    return text, float(scores.max(1)[kept].mean()) if kept.any() else 0.0
+
+
 def convex_hull(p: np.ndarray) -> np.ndarray:
     """Corner points in order, collinear ones left out."""
     p = np.unique(p, axis=0)
@@ -124,13 +138,13 @@ def _cells(fg: np.ndarray) -> list[tuple[int, int, int, int]] | None:
     """Glyph boxes (x0, x1, y0, y1; ends excluded) from column runs; narrow gaps are closed."""
     h, _ = fg.shape
     runs = _runs(fg.sum(0) > max(1, h // 25), 2)
-    if not runs or len(runs) > 16:
+    if not runs or len(runs) > MOST_RUNS:
         return None
     gap = max(1, int(0.30 * sorted(b - a for a, b in runs)[len(runs) // 2]))
     joined = [runs[0]]
     for a, b in runs[1:]:
         joined[-1:] = [(joined[-1][0], b)] if a - joined[-1][1] <= gap else [joined[-1], (a, b)]
-    if len(joined) > 8:
+    if len(joined) > MOST_CELLS:
         return None
     cells = []
     for a, b in joined:
@@ -176,12 +190,12 @@ def read_segments(g: np.ndarray) -> tuple[str, float] | None:
     out, digits, confidence = "", 0, 1.0
     for x0, x1, y0, y1 in cells:
         ch, cw, found, cost = y1 - y0, x1 - x0, None, 0
-        if ch < 0.4 * tallest:
+        if ch < DOT_HEIGHT * tallest:
             if y0 >= middle and out:
                 out += "."
                 continue
-        elif cw < 0.4 * ch:
-            if fg[y0:y1, x0:x1].mean() >= 0.3:
+        elif cw < ONE_WIDTH * ch:
+            if fg[y0:y1, x0:x1].mean() >= ONE_FILL:
                 found = "1"
         else:
             m = _segments(e[y0:y1, x0:x1])
@@ -191,10 +205,10 @@ def read_segments(g: np.ndarray) -> tuple[str, float] | None:
         if found is None:  # a unit behind the digits ends them, anything else spoils the reading
             if digits < 2:
                 return None
-            confidence = min(confidence, 0.85)
+            confidence = min(confidence, CUT_SHORT)
             break
         out, digits = out + found, digits + 1
-        confidence = min(confidence, 0.8) if cost else confidence
+        confidence = min(confidence, NEAR_MISS) if cost else confidence
     if not digits:
         return None
     head, dot, last = out.rpartition(".")

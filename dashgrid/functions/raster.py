@@ -274,6 +274,99 @@ def warp(g: np.ndarray, corners: list[tuple[float, float]], width: int, height:
     return np.rint(top * (1 - fy) + low * fy).astype(np.int64).reshape(height, width)
 
 
+def subsample(a: np.ndarray, n: int) -> np.ndarray:
+    """Means of n x n blocks; what doesn't fill a block at the right and bottom goes."""
+    h, w = a.shape[0] // n, a.shape[1] // n
+    return a if n == 1 else a[:h * n, :w * n].reshape(h, n, w, n, *a.shape[2:]).mean((1, 3)).astype(a.dtype)
+
+
+def resize(a: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Bilinear between pixel centres, for grids and (..., 3) images."""
+    def axis(n: int, to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip((np.arange(to) + 0.5) * n / to - 0.5, 0, n - 1)
+        lo = at.astype(int)
+        return lo, np.minimum(lo + 1, n - 1), at - lo
+
+    (y0, y1, fy), (x0, x1, fx) = axis(a.shape[0], height), axis(a.shape[1], width)
+    fy, fx = fy.reshape(-1, *[1] * (a.ndim - 1)), fx.reshape(1, -1, *[1] * (a.ndim - 2))
+    rows = a[y0] * (1 - fy) + a[y1] * fy
+    return np.rint(rows[:, x0] * (1 - fx) + rows[:, x1] * fx).astype(a.dtype)
+
+
+def fit_long_edge(a: np.ndarray, longest: int) -> np.ndarray:
+    """Halved while at least twice too long, then scaled so that the longer edge is at most ``longest``."""
+    n, edge = 1, max(a.shape[:2])
+    while edge // (n * 2) >= longest:
+        n *= 2
+    a = subsample(a, n)
+    edge = max(a.shape[:2])
+    return a if edge <= longest else resize(a, max(1, int(a.shape[1] * longest / edge)), max(1, int(a.shape[0] * longest / edge)))
+
+
+def upright(a: np.ndarray, orientation: int) -> np.ndarray:
+    """An image turned and mirrored as its orientation tag (1 to 8) says."""
+    if orientation in (5, 6, 7, 8):
+        a = a.swapaxes(0, 1)
+    if orientation in (2, 3, 6, 7):
+        a = a[:, ::-1]
+    if orientation in (3, 4, 7, 8):
+        a = a[::-1]
+    return np.ascontiguousarray(a)
+
+
+def enlarged(g: np.ndarray, longest: int = 3400) -> np.ndarray | None:
+    """Twice the size, or as much of it as the longer edge allows; None if that is hardly more (1.1 times)."""
+    k = min(2.0, longest / max(g.shape[:2])) if g.size else 0.0
+    return None if k <= 1.1 else resize(g, int(g.shape[1] * k), int(g.shape[0] * k))
+
+
+def quad_shape(c: list[tuple[float, float]]) -> tuple[float, bool]:
+    """Greatest skew of an edge in degrees, and whether the corners (from the top left, clockwise) make no usable display."""
+    p = np.array(c)
+    edges = np.abs(np.roll(p, -1, 0) - p)
+    flat = np.degrees(np.arctan2([edges[0, 1], edges[2, 1], edges[1, 0], edges[3, 0]], [edges[0, 0], edges[2, 0], edges[1, 1], edges[3, 1]]))
+    q, sides = np.roll(p, -1, 0), np.hypot(*edges.T)
+    area, box = abs((p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum()) / 2, float(np.prod(np.ptp(p, axis=0)))
+    return float(flat.max()), bool(box <= 0 or sides[[0, 2]].mean() < 2 or sides[[1, 3]].mean() < 2 or area < 0.6 * box)
+
+
+#: Longest edge at which a display is looked for; skew from which it is warped; least edge and greatest share of a crop.
+ANALYSIS_EDGE, WARP_DEGREES, LEAST_CROP, MOST_CROP = 384, 5.0, 64, 0.85
+
+
+def display_crop(g: np.ndarray, longest: int = 3400) -> tuple[np.ndarray, bool, float] | None:
+    """The lit display of a photo: (grid, warped, skew); rectified if clearly skewed, else its box with a margin of a tenth."""
+    h, w = g.shape
+    k = ANALYSIS_EDGE / max(h, w, 1)
+    small = resize(g, max(16, int(w * k)), max(16, int(h * k))) if k < 1 else g
+    found = bright_display(small)
+    if found is None:
+        return None
+    (x0, y0, x1, y1), corners = found
+    fx, fy = w / small.shape[1], h / small.shape[0]
+    skew, bad = quad_shape(corners)
+    if not bad and skew > WARP_DEGREES:
+        full = np.array(corners) * [fx, fy]
+        top, right, bottom, left = np.hypot(*(np.roll(full, -1, 0) - full).T)
+        size = [int(np.clip(np.floor(x + 0.5), LEAST_CROP, longest)) for x in ((top + bottom) / 2, (left + right) / 2)]
+        try:
+            return warp(g, [tuple(c) for c in full], *size), True, skew
+        except np.linalg.LinAlgError:
+            pass
+    mx, my = int((x1 - x0 + 1) * fx * 0.10), int((y1 - y0 + 1) * fy * 0.10)
+    left, top, right, bottom = max(0, int(x0 * fx) - mx), max(0, int(y0 * fy) - my), min(w - 1, int(x1 * fx) + mx), min(h - 1, int(y1 * fy) + my)
+    cw, ch = right - left + 1, bottom - top + 1
+    if min(cw, ch) < LEAST_CROP or cw * ch > MOST_CROP * w * h:
+        return None
+    return g[top:bottom + 1, left:right + 1], False, skew
+
+
+def without_glare(g: np.ndarray) -> tuple[np.ndarray, int, float]:
+    """The grid with large glare filled in, the number of regions and the share covered; unchanged (0, 0.0) if there is none."""
+    r = inpaint_glare(g)
+    return (g, 0, 0.0) if r is None else (np.clip(r[0], 0, 255), r[1], r[2])
+
+
 def round_to_32(n: int) -> int:
     return max(32, int(np.floor(n / 32 + 0.5)) * 32)
 
