@@ -20,12 +20,22 @@ def display_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+#: The first bytes of image files (JPEG, PNG, GIF, BMP, then WebP and HEIC behind a length).
+IMAGE_MAGIC = "^(FFD8FF|89504E470D0A1A0A|474946383|424D|52494646.{8}57454250|.{8}66747970(686569|6D6966))"
+
+
 def list_folder(spark: SparkSession, folder: str, content: bool = True) -> DataFrame:
-    """Direct children that are images or truth files: (path, name, length, content). Bytes are read only if asked for."""
+    """Direct children that are images or truth files: (path, name, length, content).
+
+    Images are told by their ending or, where the content is asked for, by their first bytes; else no bytes are read.
+    """
     d = spark.read.format("binaryFile").load(folder.rstrip("/") + "/*")
     name = display_name(F.col("path"))
     ending = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
-    return d.where(ending.isin(*IMAGE_ENDINGS) | (F.lower(name) == TRUTH_NAME)).select("path", name.alias("name"), "length", *(["content"] if content else []))
+    listed = ending.isin(*IMAGE_ENDINGS) | (F.lower(name) == TRUTH_NAME)
+    if content:
+        listed = listed | F.hex(F.substring("content", 1, 12)).rlike(IMAGE_MAGIC)
+    return d.where(listed).select("path", name.alias("name"), "length", *(["content"] if content else []))
 
 
 def split_inputs(files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -151,11 +151,12 @@ def test_readings_table(spark):
 
 
 def test_files(spark, tmp_path):
-    for n, b in {"a.JPG": b"1", "b.png": b"2", "c.txt": b"3", "ground_truth.csv": b"4", "Ground_Truth.CSV": b"5"}.items():
+    for n, b in {"a.JPG": b"1", "b.png": b"2", "c.txt": b"3", "d": b"\x89PNG\r\n\x1a\nxxxxx", "ground_truth.csv": b"4", "Ground_Truth.CSV": b"5"}.items():
         (tmp_path / n).write_bytes(b)
     (tmp_path / "sub").mkdir()
     truth_, images = files.split_inputs(files.list_folder(spark, str(tmp_path)))
-    assert [r.name for r in truth_.collect()] == ["Ground_Truth.CSV"] and sorted(r.name for r in images.collect()) == ["a.JPG", "b.png", "ground_truth.csv"]
+    assert [r.name for r in truth_.collect()] == ["Ground_Truth.CSV"] and sorted(r.name for r in images.collect()) == ["a.JPG", "b.png", "d", "ground_truth.csv"]
+    assert files.list_folder(spark, str(tmp_path), content=False).count() == 4
 
     def bad(_):
         raise ValueError
