@@ -8,7 +8,8 @@ percentiles are exact. Sketches of partitions, days or separate sets of rows mer
 
 Scale: every task folds its rows into one small sketch per group before the shuffle, so a group with a
 third of all rows costs each task one sketch; a task that meets very many groups hands on early what it has.
-Behind the shuffle the sketches are sorted by group, so each group gives one row however many there are.
+Behind the shuffle they are merged in two levels, branches and groups; at last the sketches are sorted by group, so each
+group gives one row however many there are.
 
 Defined results: null values are left out, and so is NaN; negative and zero values count; a null group
 column is a group of its own; repeated rows count each; an empty table gives no rows.
@@ -22,10 +23,13 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SECTIONS = 3
 DEFAULT_K = 32
+#: Branches of the tree in which a group's sketches are merged.
+BRANCHES = 32
 #: A task hands on its sketches when they hold this many items.
 FLUSH_ITEMS = 2_000_000
 
@@ -182,6 +186,9 @@ def merge_sketches(sketches: DataFrame, groups: Sequence[str], folded: bool = Fa
     s = sketches.select(*groups, "metric", "sketch")
     if not folded:  # fold within each task before anything is shuffled
         s = s.mapInArrow(_fold([*groups], [], 0, True), s.schema)
+    # a level of the tree in between, so that the last task of a group reads a bounded number of sketches, not one per task
+    spread = s.withColumn("_branch", F.pmod(F.spark_partition_id(), F.lit(BRANCHES)))
+    s = spread.repartition(*groups, "metric", "_branch").drop("_branch").mapInArrow(_fold([*groups], [], 0, True), s.schema)
     return s.repartition(*groups, "metric").sortWithinPartitions(*groups, "metric").mapInArrow(_fold([*groups], [], 0, True, last=True), s.schema)
 
 
