@@ -6,7 +6,7 @@ of the same length; the text is cut at hard breaks (paragraph labels, claims, bl
 terminators of its scripts; since masks keep every offset, a unit's text is restored from the original.
 
 Defined results: null, empty and blank texts give no rows; a text without any terminator is one unit;
-offsets count Unicode code points; repeated rows give their units each; an empty table gives none; the two
+offsets count Unicode code points; repeated rows give their units each; an empty table gives none; the three
 private-use characters, if a text already holds them, count as letters. Very long texts are cut like others: offsets are
 summed and units cut out in blocks, so the work stays about in proportion to the text.
 """
@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CUT, MASK = "\ue000", "\ue001"
+CUT, MASK, HARD = "\ue000", "\ue001", "\ue002"
 #: Characters that count as white space around a unit.
 BLANK = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _S = r"[\s\x1c-\x1f\x85\xa0  -     　]"
@@ -121,7 +121,7 @@ def _hard_cuts(t: Column) -> Column:
     back = r"[ \t\r]{0,3}\n"
     claim = (rf"(?=[ \t]*{_CLAIM}{_S}?[\p{{L}}|])(?:(?<=[.!?{_END}…;；:：{CLOSE}{_THAI}]{back})|(?<![\p{{Ll}},{MASK}]{back})(?=[ \t]*{_CLAIM}{_S}?[\p{{Lu}}\p{{Lo}}])"
              rf"|(?<=\p{{L}}{back})(?=[ \t]*\(?1[.{MASK})–—]?\)?{_S}?[–—]?{_S}?[\p{{Lu}}\p{{Lo}}]))")
-    return F.regexp_replace(t, rf"\n(?:(?:[ \t\r]*\n)+|(?=[ \t]*{_LABEL})|{claim})", "$0" + CUT)
+    return F.regexp_replace(t, rf"\n(?:(?:[ \t\r]*\n)+|(?=[ \t]*{_LABEL})|{claim})", "$0" + HARD)
 
 
 def _soft_cuts(t: Column, wrapped: Column, wide: Column, rare: Column, thai: Column) -> Column:
@@ -160,7 +160,7 @@ def _starts(lengths: Column, block: int = 128) -> Column:
 def sentence_units(df: DataFrame, text: str, keep: Sequence[str], with_text: bool = False) -> DataFrame:
     """One row per unit: ``keep`` columns, start_char, end_char and, if asked for, the unit's text."""
     d = df.select(*keep, F.col(text).cast("string").alias("_t")).where(F.col("_t").isNotNull())
-    clean = F.when(F.col("_t").contains(CUT) | F.col("_t").contains(MASK), F.translate("_t", CUT + MASK, "��")).otherwise(F.col("_t"))
+    clean = F.when(F.col("_t").contains(CUT) | F.col("_t").contains(MASK) | F.col("_t").contains(HARD), F.translate("_t", CUT + MASK + HARD, "�" * 3)).otherwise(F.col("_t"))
     has = lambda signs: F.lit(False) if not signs else F.col("_t").contains(signs[0]) | has(signs[1:])
     d = d.withColumns({"_wide": has(_END), "_rare": F.col("_t").rlike(f"[{_RARE}]"), "_thai": F.col("_t").rlike(f"[{_THAI}]")})
     d = d.withColumn("_m", _mask_stutter(clean))
@@ -170,9 +170,11 @@ def sentence_units(df: DataFrame, text: str, keep: Sequence[str], with_text: boo
     d = d.withColumn("_m", _mask_signs(F.col("_m"), F.col("_wide"), F.col("_rare")))
     # lines are wrapped where paragraphs stand apart by blank lines
     d = d.withColumn("_w", F.col("_m").rlike(r"\n[ \t\r]*\n"))
-    d = d.withColumn("_h", F.split(_hard_cuts(F.col("_m")), CUT))
-    claim = rf"^{_S}*{_CLAIM}{_S}?[\p{{L}}|]"
-    d = d.withColumn("_p", F.flatten(F.transform("_h", lambda p: F.when(p.rlike(claim), F.array(p)).otherwise(F.split(_soft_cuts(p, F.col("_w"), F.col("_wide"), F.col("_rare"), F.col("_thai")), CUT)))))
+    d = d.withColumn("_h", _hard_cuts(F.col("_m")))
+    # all of the text is cut at once; the cuts inside claims are taken back
+    d = d.withColumn("_h", F.split(_soft_cuts(F.col("_h"), F.col("_w"), F.col("_wide"), F.col("_rare"), F.col("_thai")), HARD))
+    claim, whole = rf"^{_S}*{_CLAIM}{_S}?[\p{{L}}|]", lambda p: F.replace(p, F.lit(CUT), F.lit(""))
+    d = d.withColumn("_p", F.flatten(F.transform("_h", lambda p: F.when(whole(p).rlike(claim), F.array(whole(p))).otherwise(F.split(p, CUT)))))
     d = d.withColumn("_n", F.transform("_p", lambda p: F.length(p)))
     d = d.withColumn("_a", _starts(F.col("_n")))
     start = lambda p, n, a: a + n - F.length(F.ltrim(p, F.lit(BLANK)))
