@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import csv_escape
 from ..operators import fuse, readings as R, report, stats as A, truth as T
-from ..schemas import FIELDS, MODES, RUNGS, TIEBREAKS, engines_of
+from ..schemas import FIELDS, MODES, RUNGS, TIEBREAKS, engines_of, mode_or_default
 from ..session import table
+from ..sources.files import display_name, file_ending, image_hashes
+from ..sources.images import take_images
 
 _READING = "id, vehicleId, timestamp, odoKm, batteryPct, rangeKm, eventType, userEdited, ocrOdo, ocrBattery, ocrRange, imagePath, imageHash"
 
@@ -135,7 +137,31 @@ def missing_fields(s: SparkSession, d: str) -> DataFrame:
                            (F.col("odo").isNull() | F.col("battery").isNull() | F.col("range").isNull()).alias("is_missing"))
 
 
+def file_names(s: SparkSession, d: str) -> DataFrame:
+    """Name and ending of every reading's photo."""
+    name = display_name(F.col("imagePath"))
+    return _r(s, d).where("imagePath is not null").select("id", name.alias("name"), file_ending(name).alias("ending"))
+
+
+def content_hash(s: SparkSession, d: str) -> DataFrame:
+    """SHA-256 of bytes, here those of the photos' paths, as the photos aren't there."""
+    files = _r(s, d).select(F.col("id").cast("string").alias("path"), F.col("eventType").alias("name"), F.encode("imagePath", "UTF-8").alias("content"))
+    return image_hashes(files).select("path", "hash")
+
+
+def image_limit(s: SparkSession, d: str) -> DataFrame:
+    """The photos taken at once."""
+    return take_images(_r(s, d).where("imagePath is not null").select(F.col("imagePath").alias("path")).distinct())
+
+
+def mode_default(s: SparkSession, d: str) -> DataFrame:
+    """The mode in force for settings that are spelled wrong or missing in part of the rows."""
+    stored = F.when(F.col("rowId") % 5 == 0, F.lower("mode")).when(F.col("rowId") % 7 != 0, F.col("mode"))
+    return _b(s, d).select("rowId", mode_or_default(stored).alias("mode"))
+
+
 QUERIES = {
+    "file_names": file_names, "content_hash": content_hash, "image_limit": image_limit, "mode_default": mode_default,
     "scan_newest": lambda s, d: R.newest_first(_r(s, d)),
     "point_lookup": lambda s, d: R.by_id(_r(s, d), 5),
     "user_edited_scan": lambda s, d: R.edited(_r(s, d)),
@@ -244,6 +270,10 @@ def _merge_sql() -> str:
 _PRESENT = "array_to_string(list_filter([{}], lambda x: x IS NOT NULL), '|')"
 
 ORACLE = {
+    "file_names": "SELECT id, regexp_extract(imagePath, '[^/]*$') AS name, lower(regexp_extract(regexp_extract(imagePath, '[^/]*$'), '\\.([^.]+)$', 1)) AS ending FROM readings WHERE imagePath IS NOT NULL",
+    "content_hash": "SELECT CAST(id AS VARCHAR) AS path, sha256(imagePath) AS hash FROM readings",
+    "image_limit": "SELECT DISTINCT imagePath AS path FROM readings WHERE imagePath IS NOT NULL ORDER BY path LIMIT 100",
+    "mode_default": "SELECT rowId, CASE WHEN rowId % 5 = 0 OR rowId % 7 = 0 THEN 'BOTH' ELSE mode END AS mode FROM batch_rows",
     "scan_newest": f"SELECT {_READING} FROM readings ORDER BY timestamp DESC",
     "point_lookup": f"SELECT {_READING} FROM readings WHERE id = 5",
     "user_edited_scan": f"SELECT {_READING} FROM readings WHERE userEdited ORDER BY timestamp DESC",

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from ..functions import decoders as D, raster as G, spatial as S, text as X
-from ..operators import fuse, ladder as R
+from ..operators import fuse, ladder as R, readings as V
 from ..operators.parse import LABELS, OTHER_LABELS, parse_lines
-from ..schemas import FIELDS
+from ..schemas import FIELDS, any_changed
 from ..session import table
 
 _TEXTS = {
@@ -130,6 +130,35 @@ def best_confidence(s: SparkSession, d: str) -> DataFrame:
     return ocr_cases(s, d).select("case_id", fuse.line_confidence((F.col("case_id") % 100).cast("int"), F.col("lines")).cast("double").alias("confidence"))
 
 
+def lines_changed(s: SparkSession, d: str) -> DataFrame:
+    """Whether normalising changes some line of a case."""
+    text = lambda f: F.transform("lines", lambda x: f(x["text"]))
+    return ocr_cases(s, d).select("case_id", any_changed(text(lambda t: t), text(X.normalise_line)).alias("changed"))
+
+
+def engine_panel(s: SparkSession, d: str) -> DataFrame:
+    return ocr_cases(s, d).select("case_id", V.engine_text(F.lit("mlkit"), F.col("lines")).alias("shown"))
+
+
+def debug_panel(s: SparkSession, d: str) -> DataFrame:
+    sources = F.create_map(F.lit("odo"), F.concat(F.lit("7 ← "), F.col("case_id").cast("string")))
+    return ocr_cases(s, d).select("case_id", V.debug_text(F.col("lines"), sources, F.array(F.lit("odo: a"), F.lit("range: b"))).alias("shown"))
+
+
+def corner_order(s: SparkSession, d: str) -> DataFrame:
+    """Top left, top right, bottom right, bottom left of four points taken from the first eight pixels of a grid."""
+    out = ST.StructType([ST.StructField("corners", ST.StringType())])
+    return G.on_grids(grids(s, d), "lum", "w", "h", ["vec_id"], out, lambda g: (_text(D.order_corners(g.ravel()[:8].reshape(4, 2))),))
+
+
+def _rgb(g: np.ndarray) -> np.ndarray:
+    return g.ravel()[:63].reshape(3, 7, 3)  # a picture of 7 x 3 pixels
+
+
+def upper_median(s: SparkSession, d: str) -> DataFrame:
+    return grids(s, d).select("vec_id", F.get(F.array_sort("lum"), F.expr("size(lum) div 2")).alias("median"))
+
+
 def reading_order(s: SparkSession, d: str) -> DataFrame:
     """Line indices of each case by top, then left."""
     order = F.array_sort(F.transform("lines", lambda x: F.struct(x["top"].alias("t"), x["left"].alias("l"), x["i"].alias("i"))))
@@ -212,6 +241,9 @@ def laplacian_variance(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "lines_changed": lines_changed, "engine_panel": engine_panel, "debug_panel": debug_panel, "corner_order": corner_order, "upper_median": upper_median,
+    "luminance": _grid_query("lum string", lambda g: (_text(G.luminance(_rgb(g))),)),
+    "tensor_normalise": _grid_query("symmetric string,natural string", lambda g: tuple(",".join(f"{int(np.floor(float(x) * 1000 + 0.5))}" for x in G.normalise(_rgb(g), k).ravel()) for k in (True, False))),
     "text_normalize": text_normalize, "fuzzy_label_match": fuzzy_label_match, "digit_repair": digit_repair, "field_value_parsers": field_value_parsers, "separator_normalize": separator_normalize,
     "line_boxes": line_boxes, "nearest_value": nearest_value, "dashboard_parse": dashboard_parse, "ladder_run": ladder_run, "ladder_provenance": ladder_provenance, "fill_empty_merge": fill_empty_merge, "ensemble_lines": ensemble_lines, "line_confidence": best_confidence, "reading_order": reading_order, "csv_cells": csv_cells,
     "quad_metrics": quad_metrics, "ctc_decode": ctc_decode, "sharpness_gate": sharpness_gate,
@@ -365,7 +397,24 @@ _GAUSS = lambda c, src: (f"SELECT p.vec_id, p.y, p.x, CAST(sum(w * q.v) AS BIGIN
                          f"WHERE q.vec_id = p.vec_id AND q.{c} = greatest(0, least(7, p.{c} + d)) AND q.{'y' if c == 'x' else 'x'} = p.{'y' if c == 'x' else 'x'} GROUP BY 1, 2, 3")
 _BACK = _window_sql(_MEAN, _MEAN, _window_sql(_MEAN, _MEAN, "SELECT * FROM p", 4), 4)
 
+_RGB = "(SELECT vec_id, i, lum[3 * i + 1] r, lum[3 * i + 2] g, lum[3 * i + 3] b FROM g, range(21) t(i))"
+_SCALED = lambda c, mean, dev: f"CAST(floor(({c} / 255.0::DOUBLE - {mean}::DOUBLE) / {dev}::DOUBLE * 1000 + 0.5) AS BIGINT)"
+_TENSOR = lambda name: f"string_agg(CAST(x_{name} AS VARCHAR), ',' ORDER BY ch, i) AS {name}"
+_SHOW = "'\"' || text || '\"'"
+
 ORACLE = {
+    "lines_changed": f"{_LINE_CTE} SELECT case_id, bool_or(text <> t) AS changed FROM o GROUP BY 1",
+    "engine_panel": f"""{_LINE_CTE} SELECT case_id, 'mlkit (' || count(*) || ' lines)' || chr(10) || string_agg({_SHOW} || CASE WHEN confidence IS NULL THEN '' ELSE ' 0.' || lpad(CAST(CAST(floor(CAST(confidence AS DOUBLE) * 100 + 0.5) AS INTEGER) AS VARCHAR), 2, '0') END
+ || chr(10) || '  ' || {_box_sql('x0', 'y0', 'x1', 'y1')}, chr(10) ORDER BY i) AS shown FROM o GROUP BY 1""",
+    "debug_panel": f"""{_LINE_CTE} SELECT case_id, string_agg({_SHOW} || '  ' || {_box_sql('x0', 'y0', 'x1', 'y1')}, chr(10) ORDER BY i) || chr(10) || chr(10) || 'Field sources:' || chr(10) || '• odo: 7 ← ' || case_id || chr(10) || chr(10)
+ || 'Parser notes:' || chr(10) || '• odo: a' || chr(10) || '• range: b' AS shown FROM o GROUP BY 1""",
+    "corner_order": f"""{_GRID}, c AS (SELECT vec_id, i, lum[2 * i + 1] x, lum[2 * i + 2] y FROM g, range(4) t(i)), s AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x + y, i) k FROM c),
+ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id, k IN (1, 4) ORDER BY x - y, i) j FROM s)
+ SELECT vec_id, string_agg(x || ',' || y, ',' ORDER BY CASE WHEN k = 1 THEN 0 WHEN k = 4 THEN 2 WHEN j = 2 THEN 1 ELSE 3 END) AS corners FROM r GROUP BY 1""",
+    "upper_median": f"{_GRID} SELECT vec_id, list_sort(lum)[len(lum) // 2 + 1] AS median FROM g",
+    "luminance": f"{_GRID} SELECT vec_id, string_agg(CAST((299 * r + 587 * g + 114 * b) // 1000 AS VARCHAR), ',' ORDER BY i) AS lum FROM {_RGB} GROUP BY 1",
+    "tensor_normalise": f"""{_GRID}, c AS (SELECT vec_id, i, 0 AS ch, {_SCALED('r', 0.5, 0.5)} AS x_symmetric, {_SCALED('r', 0.485, 0.229)} AS x_natural FROM {_RGB} UNION ALL SELECT vec_id, i, 1, {_SCALED('g', 0.5, 0.5)}, {_SCALED('g', 0.456, 0.224)} FROM {_RGB}
+ UNION ALL SELECT vec_id, i, 2, {_SCALED('b', 0.5, 0.5)}, {_SCALED('b', 0.406, 0.225)} FROM {_RGB}) SELECT vec_id, {_TENSOR('symmetric')}, {_TENSOR('natural')} FROM c GROUP BY 1""",
     "ensemble_lines": _fused_sql(),
     "gaussian_blur": f"{_PIX}, gx AS ({_GAUSS('x', 'SELECT * FROM p')}) SELECT vec_id, {_LIST} AS blurred FROM ({_GAUSS('y', 'SELECT * FROM gx')}) GROUP BY 1",
     "illumination_flatten": f"""{_PIX}, f AS (SELECT p.vec_id, p.y, p.x, least(255, p.v * 128 // greatest(1, b.v)) AS f FROM p JOIN ({_BACK}) b USING (vec_id, y, x)), l AS (SELECT vec_id, min(f) lo, max(f) hi FROM f GROUP BY 1),

@@ -24,6 +24,11 @@ def display_name(path: Column) -> Column:
 IMAGE_MAGIC = "^(FFD8FF|89504E470D0A1A0A|474946383|424D|52494646.{8}57454250|.{8}66747970(686569|6D6966))"
 
 
+def file_ending(name: Column) -> Column:
+    """The ending behind the last full stop, lower case; empty if there is none."""
+    return F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
+
+
 def list_folder(spark: SparkSession, folder: str, content: bool = True) -> DataFrame:
     """Direct children that are images or truth files: (path, name, length, content).
 
@@ -31,8 +36,7 @@ def list_folder(spark: SparkSession, folder: str, content: bool = True) -> DataF
     """
     d = spark.read.format("binaryFile").load(folder.rstrip("/") + "/*")
     name = display_name(F.col("path"))
-    ending = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
-    listed = ending.isin(*IMAGE_ENDINGS) | (F.lower(name) == TRUTH_NAME)
+    listed = file_ending(name).isin(*IMAGE_ENDINGS) | (F.lower(name) == TRUTH_NAME)
     if content:
         listed = listed | F.hex(F.substring("content", 1, 12)).rlike(IMAGE_MAGIC)
     return d.where(listed).select("path", name.alias("name"), "length", *(["content"] if content else []))
