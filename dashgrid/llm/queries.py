@@ -110,7 +110,7 @@ def p7_kept(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Characters of each document's units but blanks: all the text has, once."""
-    u = p8_sentences(spark, d).select("doc_id", F.length(F.translate("sentence", BLANK, "")).alias("n"))
+    u = p8_sentences(spark, d).select("doc_id", F.length(F.regexp_replace("sentence", f"[{BLANK}]+", "")).alias("n"))
     return u.groupBy("doc_id").agg(F.sum("n").alias("n"))
 
 
