@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from dashgrid import schemas
 from dashgrid.operators import readings as R
 from dashgrid.operators import report, stats, truth
+from dashgrid.plans import evaluation
 from dashgrid.sources import files
 from dashgrid.streaming import live
 
@@ -150,6 +151,16 @@ def test_readings_table(spark):
     assert R.migrate(r, {"debugJson": "string", "id": "int"}).columns == [*r.columns, "debugJson"]
 
 
+def test_snapshot_of_the_largest_odometer(spark, tmp_path):
+    """The largest int has no next one: an edited reading that holds it, or a null, fails nothing."""
+    top = 2**31 - 1
+    values = [(1, top, True), (2, top, False), (3, None, True), (4, -top - 1, True), (5, 8, True), (6, top, None), (7, top, True), (8, top - 1, True), (11, top, True), (77, top, True)]
+    r = spark.createDataFrame([(i, i, o, None, 1, e, None, None) for i, o, e in values], READ)
+    r.write.parquet(str(tmp_path / "readings.parquet"))
+    got = {x.id: x.change for x in evaluation.snapshot_diff(spark, str(tmp_path)).collect()}
+    assert got == {1: "changed", 4: "changed", 5: "changed", 7: "removed", 8: "changed", 11: "added"}
+
+
 def test_files(spark, tmp_path):
     for n, b in {"a.JPG": b"1", "b.png": b"2", "c.txt": b"3", "d": b"\x89PNG\r\n\x1a\nxxxxx", "ground_truth.csv": b"4", "Ground_Truth.CSV": b"5"}.items():
         (tmp_path / n).write_bytes(b)
